@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from linkloom.llm import cooccurrence, leakage, tokens, topn
+from linkloom.llm import cooccurrence, leakage, lookalikes, tokens, topn
 
 QUERIES = {
     "p2_found": topn.p2_found,
     "p3_found": cooccurrence.p3_found,
     "p3_pairs": cooccurrence.p3_pairs,
+    "p4_found": lookalikes.p4_found,
     "p6_ids": tokens.p6_ids,
     "p7_found": leakage.p7_found,
     "p7_kept": leakage.p7_kept,
