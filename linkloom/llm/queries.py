@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linkloom.llm import cooccurrence, leakage, lookalikes, tokens, topn
+from linkloom.llm import cooccurrence, leakage, lookalikes, mojibake, tokens, topn
 
 QUERIES = {
     "p2_found": topn.p2_found,
@@ -12,6 +12,8 @@ QUERIES = {
     "p6_ids": tokens.p6_ids,
     "p7_found": leakage.p7_found,
     "p7_kept": leakage.p7_kept,
+    "p8_found": mojibake.p8_found,
+    "p8_restored": mojibake.p8_restored,
 }
 
 SQL = {
