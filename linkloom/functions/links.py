@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import posixpath
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from linkloom.functions.paths import WS, file_name, folder, is_bare, is_relative, is_url, joined, lower, relative_to, trim, without_md
+from linkloom.functions.paths import WS, file_name, is_bare, is_relative, is_url, lower, trim, without_md
 
 #: The signs that end a tag, beside white space.
 _NOT_TAG = r"\x{00}-\x{20}" + WS + r"'\"!#$%&()*+,.:;<=>?@^{|}~\[\]\\`\x{2000}-\x{206F}\x{2E00}-\x{2E7F}"
@@ -119,18 +122,32 @@ def raw_target(raw: Column, kind: Column) -> Column:
     return F.when(kind == "wikilink", target_part(before_alias(wiki_inner(raw)))).otherwise(target_part(url_part(raw)))
 
 
-def relative_again(raw: Column, kind: Column, new_path: Column, target: Column) -> Column:
-    """A relative raw link as it must read from ``new_path`` for ``target``, a clean path from the root."""
-    way = relative_to(folder(new_path), target)
-    way = F.when(way.startswith(".."), way).otherwise(F.concat(F.lit("./"), way))
-    bare = F.regexp_replace(way, r"\.md\z", "")
-    inner = wiki_inner(raw)
-    wiki = F.concat(F.lit("[["), bare, subpath_part(before_alias(inner)), alias_part(inner), F.lit("]]"))
-    url = url_part(raw)
-    had = lower(target_part(url)).endswith(".md")
-    kept = F.when(had, F.when(lower(way).endswith(".md"), way).otherwise(F.concat(way, F.lit(".md")))).otherwise(bare)
-    mark = F.concat(F.regexp_extract(raw, r"(?s)\A(.*?\]\()", 1), kept, subpath_part(url), F.lit(")"))
-    return F.when(kind == "wikilink", wiki).otherwise(mark)
+def _again(raw: str, kind: str, new_path: str, aim: str) -> str:
+    way = posixpath.relpath("/" + aim, "/" + posixpath.dirname(new_path))
+    way = way if way.startswith("..") else f"./{way}"
+    if kind == "wikilink":
+        name, bar, alias = raw.removeprefix("[[").removesuffix("]]").partition("|")
+        _, mark, heading = name.partition("#")
+        return f"[[{way.removesuffix('.md')}{mark}{heading}{bar}{alias}]]"
+    text, mid, url = raw.partition("](")
+    if not mid:
+        return raw
+    target, mark, heading = url.removesuffix(")").partition("#")
+    kept = way.removesuffix(".md") if not target.lower().endswith(".md") else way if way.lower().endswith(".md") else f"{way}.md"
+    return f"{text}]({kept}{mark}{heading})"
+
+
+def relative_again(raw: Column, kind: Column, new_path: Column, aim: Column) -> Column:
+    """A relative raw link as it must read from ``new_path`` for ``aim``, a clean path from the root.
+
+    Only the relative links of moved notes get here, so these few rows may go through Arrow.
+    """
+
+    @F.pandas_udf("string")
+    def again(r: pd.Series, k: pd.Series, n: pd.Series, a: pd.Series) -> pd.Series:
+        return pd.Series([_again(*x) for x in zip(r, k, n, a)], dtype="object")
+
+    return again(raw, kind, new_path, aim)
 
 
 def as_wikilink(raw: Column) -> Column:
@@ -167,7 +184,3 @@ def replaced_outside_code(line: Column, old: Column, new: Column) -> Column:
     """``old`` replaced by ``new`` wherever it isn't within backticks."""
     parts = F.regexp_extract_all(line, F.lit(r"(?s)`[^`]*(?:`|\z)|[^`]+"), 0)
     return F.array_join(F.transform(parts, lambda p: F.when(p.startswith("`"), p).otherwise(F.replace(p, old, new))), "")
-
-
-def pointed_into_vault(source: Column, target: Column) -> Column:
-    return joined(folder(source), target)

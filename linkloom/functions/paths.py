@@ -34,12 +34,11 @@ def clean(path: Column) -> Column:
     rooted = path.startswith("/")
     parts = F.filter(F.split(path, "/"), lambda x: ~x.isin("", "."))
     out = F.concat(F.when(rooted, F.lit("/")).otherwise(F.lit("")), F.array_join(_fold(parts, rooted), "/"))
-    return F.when(out == "", F.lit(".")).otherwise(out)
+    return F.regexp_replace(out, r"\A\z", ".")
 
 
 def file_name(path: Column) -> Column:
-    name = F.regexp_extract(path, r"(?s)([^/]*)/*\z", 1)
-    return F.when(path == "", F.lit(".")).when((name == "") & (path != ""), F.lit("/")).otherwise(name)
+    return F.regexp_replace(F.regexp_extract(path, r"(?s)([^/]*)/*\z", 1), r"\A\z", ".")
 
 
 def without_ext(path: Column) -> Column:
@@ -64,9 +63,8 @@ def asset_name_key(path: Column) -> Column:
 
 
 def folder(path: Column) -> Column:
-    """The folder of a path, ``.`` at the root of the vault."""
-    up = F.regexp_extract(path, r"(?s)\A(.*)/[^/]*\z", 1)
-    return F.when(~path.contains("/"), F.lit(".")).otherwise(clean(up))
+    """The folder of a path as it is written, ``.`` at the root of the vault."""
+    return F.when(path.contains("/"), F.regexp_replace(path, r"/[^/]*\z", "")).otherwise(F.lit("."))
 
 
 def joined(base: Column, target: Column) -> Column:
@@ -101,14 +99,3 @@ def escapes(source: Column, target: Column, bare: Column, relative: Column) -> C
 def vault_path(source: Column, target: Column, relative: Column) -> Column:
     """Where a path link points, counted from the root. Only relative targets are cleaned."""
     return F.when(relative, joined(folder(source), target)).when(target.startswith("/"), F.regexp_replace(target, r"\A/", "")).otherwise(target)
-
-
-def relative_to(base: Column, target: Column) -> Column:
-    """The way from folder ``base`` to ``target``, both clean and counted from the root; without a leading ``./``."""
-    a = F.filter(F.split(base, "/"), lambda x: ~x.isin("", "."))
-    b = F.filter(F.split(target, "/"), lambda x: ~x.isin("", "."))
-    least = F.least(F.size(a), F.size(b))
-    shared = F.when(least == 0, F.lit(0)).otherwise(F.size(F.filter(F.sequence(F.lit(1), F.greatest(least, F.lit(1))), lambda i: F.slice(a, F.lit(1), i) == F.slice(b, F.lit(1), i))))
-    up = F.array_repeat(F.lit(".."), F.size(a) - shared)
-    way = F.array_join(F.concat(up, F.slice(b, shared + 1, F.greatest(F.size(b) - shared, F.lit(0)))), "/")
-    return F.when(way == "", F.lit(".")).otherwise(way)

@@ -13,8 +13,8 @@ from linkloom.functions.frontmatter import frontmatter_tags
 from linkloom.functions.paths import trim
 from linkloom.runtime import ship
 
-#: Occurrences of the text come after those of the frontmatter.
-_BODY = 1 << 20
+#: An occurrence's place in its note: the line above this many bits, its place in the line below. Frontmatter has line 0.
+_LINE_BITS = 32
 
 
 def content_lines(content: Column) -> Column:
@@ -27,23 +27,26 @@ def frontmatter_end(lines: Column) -> Column:
     return F.when(trim(F.get(lines, F.lit(0))) == "---", F.array_position(rest, "---")).otherwise(F.lit(0)).cast("int")
 
 
-def live_lines(lines: Column) -> Column:
-    """(line, n) of the lines outside frontmatter and code fences, numbered from 1, as far as they can hold a link or tag.
+def live_lines(notes: DataFrame) -> DataFrame:
+    """(path, walk_ord, n, line) of the lines outside frontmatter and code fences that can hold a link or tag, numbered from 1.
 
-    A line belongs to a fence if the number of fence marks before it is odd, so the work is lines times fences.
+    What is known per note, the end of the frontmatter and the places of fence marks, is worked out once before its
+    lines become rows. A line belongs to a fence if the number of marks before it is odd.
     """
-    numbered = F.transform(lines, lambda x, i: F.struct(x.alias("line"), (i + 1).alias("n")))
-    end = frontmatter_end(lines)
-    body = F.filter(numbered, lambda x: x["n"] > F.when(end > 0, end + 1).otherwise(F.lit(0)))
-    marks = F.transform(F.filter(body, lambda x: trim(x["line"]).startswith("```")), lambda x: x["n"])
-    some = F.filter(body, lambda x: x["line"].rlike(r"[\[#]") & ~trim(x["line"]).startswith("```"))
-    return F.filter(some, lambda x: F.size(F.filter(marks, lambda m: m < x["n"])) % 2 == 0)
+    lines = content_lines(F.col("content"))
+    marks = F.array_compact(F.transform(lines, lambda x, i: F.when(trim(x).startswith("```"), i + 1)))
+    facts = notes.select("path", "walk_ord", lines.alias("lines"), frontmatter_end(lines).alias("end"), marks.alias("marks"))
+    rows = facts.select("path", "walk_ord", "end", "marks", F.posexplode("lines").alias("i", "line"))
+    n = F.col("i") + 1
+    begin = F.when(F.col("end") > 0, F.col("end") + 1).otherwise(F.lit(0))
+    before = F.size(F.filter("marks", lambda m: (m > begin) & (m < n)))
+    rows = rows.filter(F.col("line").rlike(r"[\[#]") & (n > begin) & (before % 2 == 0) & ~F.array_contains("marks", n))
+    return rows.select("path", "walk_ord", n.alias("n"), "line")
 
 
 def _of_line(line: Column, number: Column, for_conversion: bool) -> Column:
-    plain = links.without_code(line)
-    found = F.concat(links.wikilinks(plain, number), links.markdown_links(plain, number), links.tags(plain, number))
-    return F.concat(found, links.markdown_self_links(plain, number)) if for_conversion else found
+    found = F.concat(links.wikilinks(line, number), links.markdown_links(line, number), links.tags(line, number))
+    return F.concat(found, links.markdown_self_links(line, number)) if for_conversion else found
 
 
 def _frontmatter_rows(notes: DataFrame) -> DataFrame:
@@ -81,14 +84,14 @@ def occurrences(notes: DataFrame, for_conversion: bool = False) -> DataFrame:
     """One row per link occurrence of ``notes`` (path, content, walk_ord). Null contents and paths give none.
 
     ``for_conversion`` adds Markdown links into their own note, which don't count as links elsewhere. ``occ_ord``
-    rises in reading order within a note: frontmatter first, then by line, and in it wikilinks, Markdown links, tags.
+    is unique in a note and rises in reading order: frontmatter first, then by line, and in it wikilinks, Markdown
+    links, tags.
     """
     notes = notes.filter("path is not null and content is not null")
-    lines = live_lines(content_lines(F.col("content")))
-    all_ = F.flatten(F.transform(lines, lambda x: _of_line(x["line"], x["n"], for_conversion)))
-    body = notes.filter(F.col("content").rlike(r"[\[#]")).select("path", "walk_ord", F.posexplode(all_).alias("k", "o"))
+    lines = live_lines(notes.filter(F.col("content").rlike(r"[\[#]"))).withColumn("line", links.without_code(F.col("line")))
+    body = lines.select("path", "walk_ord", "n", F.posexplode(_of_line(F.col("line"), F.col("n"), for_conversion)).alias("k", "o"))
     found = body.select(
         F.col("path").alias("src_path"), "o.target", "o.is_basename", "o.is_relative", "o.link_type", "o.raw_link", "o.subpath",
-        F.col("o.line").alias("line_start"), F.col("o.line").alias("line_end"), "walk_ord", (F.lit(_BODY) + F.col("k")).cast("long").alias("occ_ord"),
+        F.col("o.line").alias("line_start"), F.col("o.line").alias("line_end"), "walk_ord", (F.shiftleft(F.col("n").cast("long"), _LINE_BITS) + F.col("k")).alias("occ_ord"),
     )
     return found.unionByName(_frontmatter_rows(notes))

@@ -13,7 +13,6 @@ from linkloom.operators.resolve import asset_key, link_errors, note_key, phantom
 from linkloom.schema import EDGE_COLUMNS, NODE_COLUMNS
 
 _ASSETS, _REST = 1 << 40, 1 << 41
-_WALK = 1 << 31
 
 
 class LinkError(ValueError):
@@ -49,15 +48,14 @@ def asset_nodes(assets: DataFrame) -> DataFrame:
 
 
 def edge_rows(res: DataFrame) -> DataFrame:
-    order = (F.col("walk_ord") * F.lit(_WALK) + F.col("occ_ord")).alias("occ_ord")
-    return res.select("src_key", "dst_key", "link_type", "raw_link", "subpath", "line_start", "line_end", order)
+    return res.select(EDGE_COLUMNS)
 
 
 def named_nodes(res: DataFrame) -> DataFrame:
     """The tags and phantoms that resolved occurrences point to, each in the spelling that comes first."""
     named = F.when(F.col("dst_key").startswith("tag:name:"), F.col("target")).when(F.col("dst_key").startswith("phantom:name:"), F.col("spelled"))
-    order = F.col("walk_ord") * F.lit(_WALK) + F.col("occ_ord")
-    first = res.select("dst_key", named.alias("name"), order.alias("o")).filter("name is not null").groupBy("dst_key").agg(F.min_by("name", "o").alias("name"), F.min("o").alias("o"))
+    order = F.struct("walk_ord", "occ_ord")
+    first = res.select("dst_key", named.alias("name"), "walk_ord", "occ_ord").filter("name is not null").groupBy("dst_key").agg(F.min_by("name", order).alias("name"), F.min("walk_ord").alias("o"))
     kind = F.substring_index("dst_key", ":", 1)
     return first.select(
         F.col("dst_key").alias("node_key"), kind.alias("type"), "name", F.lit(None).cast("string").alias("path"), F.lit(False).alias("exists_flag"),
@@ -151,9 +149,9 @@ def promoted(g: Graph, added: DataFrame) -> tuple[Graph, DataFrame]:
 
 
 def relinked(g: Graph, plan: DataFrame) -> Graph:
-    """The graph with raw links as a plan of rewrites has them; the plan's ``occ_ord`` are those of the edges."""
-    new = plan.select("occ_ord", "new_link").dropDuplicates(["occ_ord"])
-    edges = g.edges.join(new, "occ_ord", "left").withColumn("raw_link", F.coalesce("new_link", "raw_link")).select(EDGE_COLUMNS)
+    """The graph with raw links as a plan of rewrites has them; the plan's ``file`` and ``occ_ord`` name an edge."""
+    new = plan.select(note_key(F.col("file")).alias("src_key"), "occ_ord", "new_link").dropDuplicates(["src_key", "occ_ord"])
+    edges = g.edges.join(new, ["src_key", "occ_ord"], "left").withColumn("raw_link", F.coalesce("new_link", "raw_link")).select(EDGE_COLUMNS)
     return Graph(g.nodes, edges)
 
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.plans import general
+from linkloom.plans import general, links, links_sql
 
-QUERIES = {**general.QUERIES}
-SQL = {**general.SQL}
+QUERIES = {**links.QUERIES, **general.QUERIES}
+SQL = {**links_sql.SQL, **general.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return general.p1_counts(spark, sf_dir)
+    return links.twohop_orders(spark, sf_dir)

@@ -18,12 +18,17 @@ def test_clean_is_posix(spark):
         assert r.c == re.sub(r"^//", "/", want), r.p
 
 
-def test_relative(spark):
-    rng = random.Random(4)
-    pairs = [("/".join(rng.choice("ab") for _ in range(rng.randint(0, 3))) or ".", "/".join(rng.choice("abc") for _ in range(rng.randint(1, 4)))) for _ in range(300)]
-    df = spark.createDataFrame(pairs, "b string, t string")
-    for r in df.select("b", "t", paths.relative_to(F.col("b"), F.col("t")).alias("r")).collect():
-        assert r.r == posixpath.relpath("/" + r.t, "/" + r.b)
+@pytest.mark.parametrize(
+    "raw, kind, new, aim, want",
+    [
+        ("[[../A#h|x]]", "wikilink", "d/e/N.md", "A.md", "[[../../A#h|x]]"),
+        ("[t](./B.md#h)", "markdown", "N.md", "d/B.md", "[t](./d/B.md#h)"),
+        ("[t](./B)", "markdown", "d/N.md", "d/B.md", "[t](./B)"),
+        ("[t](../i.png)", "markdown", "N.md", "i.png", "[t](./i.png)"),
+    ],
+)
+def test_relative_again(raw, kind, new, aim, want):
+    assert links._again(raw, kind, new, aim) == want
 
 
 def one(spark, column):
