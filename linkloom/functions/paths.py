@@ -34,7 +34,8 @@ def clean(path: Column) -> Column:
     rooted = path.startswith("/")
     parts = F.filter(F.split(path, "/"), lambda x: ~x.isin("", "."))
     out = F.concat(F.when(rooted, F.lit("/")).otherwise(F.lit("")), F.array_join(_fold(parts, rooted), "/"))
-    return F.regexp_replace(out, r"\A\z", ".")
+    # most paths are clean already, and the fold isn't compiled
+    return F.when(path.rlike(r"(?:\A|/)\.{0,2}(?:/|\z)"), F.regexp_replace(out, r"\A\z", ".")).otherwise(path)
 
 
 def file_name(path: Column) -> Column:
@@ -93,7 +94,8 @@ def _outside(path: Column) -> Column:
 
 def escapes(source: Column, target: Column, bare: Column, relative: Column) -> Column:
     """Whether a link's target lies outside the vault. Bare names never do; the rest is counted from the source's folder if relative, else from the root."""
-    return F.when(relative, _outside(joined(folder(source), target))).when(bare, F.lit(False)).otherwise(_outside(clean(F.regexp_replace(target, r"\A/", ""))))
+    inside = bare | ~target.contains("..")
+    return F.when(inside, F.lit(False)).when(relative, _outside(joined(folder(source), target))).otherwise(_outside(clean(F.regexp_replace(target, r"\A/", ""))))
 
 
 def vault_path(source: Column, target: Column, relative: Column) -> Column:

@@ -107,7 +107,8 @@ def twohop_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every order and part of it, the first ten other orders with that part: text to links to two hops."""
     links = order_links(spark, sf_dir).filter(F.col("dst_key").startswith("note:path:parts/"))
     number = lambda c: F.regexp_extract(c, r"(\d+)\.md\z", 1).cast("long")
-    return query.two_hop_all(links.select(number("src_key").alias("src"), number("dst_key").alias("dst")))
+    pairs = links.select(number("src_key").alias("src"), number("dst_key").alias("dst")).distinct()
+    return query.two_hop_all(stage(pairs, "order-parts"))  # both sides of the join start from it
 
 
 def exclude_paths_nullsafe(spark: SparkSession, sf_dir: str) -> DataFrame:

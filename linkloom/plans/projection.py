@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.runtime import table
+from linkloom.runtime import partitions, table
 
 
 def order_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +22,9 @@ def order_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.array_join(F.transform("xs", lambda x: x["x"]), "\n")
     text = F.concat(F.format_string("[[customers/%d]]\n", "o_custkey"), F.coalesce(F.concat(body, F.lit("\n")), F.lit("")), F.lit("#status/"), "o_orderstatus")
     rows = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return rows.select(F.format_string("orders/%d.md", "o_orderkey").alias("path"), text.alias("content"), F.lit(0).cast("long").alias("mtime"), F.col("o_orderkey").alias("walk_ord"))
+    notes = rows.select(F.format_string("orders/%d.md", "o_orderkey").alias("path"), text.alias("content"), F.lit(0).cast("long").alias("mtime"), F.col("o_orderkey").alias("walk_ord"))
+    # the rows are small but what is done with them isn't: as many parts as the session asks for, not as few as the bytes suggest
+    return notes.repartition(max(partitions(spark), spark.sparkContext.defaultParallelism), "path")
 
 
 def other_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
