@@ -58,7 +58,7 @@ def _tables() -> tuple[str, str, list[tuple[str, str]]]:
 
 
 def one_look(text: Column) -> Column:
-    """``text`` with every sign in the one form that stands for its look; accents aren't composed, the collation sees to them."""
+    """``text`` with every sign in the one form that stands for its look."""
     old, new, many = _tables()
     out = F.regexp_replace(text, _NO_INK, "")
     out = F.regexp_replace(out, _BLANK, " ")
@@ -68,7 +68,10 @@ def one_look(text: Column) -> Column:
     whole = out
     for c, flat in many:
         whole = F.replace(whole, F.lit(c), F.lit(flat))
-    return F.when(seldom, whole).otherwise(out)
+    whole = F.when(seldom, whole).otherwise(out)
+    # collation takes an accent's ways to be stored as equal, but only if several on one letter are in canonical order
+    composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), whole, F.lit(False))
+    return F.when(whole.rlike(r"\p{M}"), composed).otherwise(whole)
 
 
 def link_target(raw: Column) -> Column:
