@@ -27,6 +27,11 @@ def last_changes(changes: DataFrame) -> DataFrame:
     return rows.groupBy("path").agg(F.max_by(F.struct("op", "to_path", "content", "mtime", "seq"), "seq").alias("c")).select("path", "c.*")
 
 
+def _cut(g: G.Graph) -> G.Graph:
+    """The graph as tables, so that the plans of the steps don't pile up."""
+    return G.Graph(stage(g.nodes, "nodes"), stage(g.edges, "edges"))
+
+
 def applied(g: G.Graph, changes: DataFrame) -> G.Graph:
     """``g`` after a batch: moves first, then new and changed notes, then what is gone. Links that escape or are unclear end in phantoms."""
     last = stage(last_changes(changes), "changes")
@@ -35,7 +40,8 @@ def applied(g: G.Graph, changes: DataFrame) -> G.Graph:
     moved = moved.join(known, "from_path", "left_semi").dropDuplicates(["to_path"])
     free = g.nodes.filter("exists_flag and path is not null").select(F.col("path").alias("to_path"))
     moved = stage(moved.join(free, "to_path", "left_anti").select("from_path", "to_path"), "moved")
-    g = G.renamed(G.relinked(g, R.move_plan(g, moved)), moved)
+    if moved.limit(1).collect():
+        g = _cut(G.renamed(G.relinked(g, stage(R.move_plan(g, moved), "plan")), moved))
     old = g.nodes.filter("type = 'note'").select("path", F.col("node_ord").alias("walk_ord"))
     top = (old.agg(F.max("walk_ord")).first()[0] or 0) + 1
     puts = last.filter("op = 'put' and content is not null").join(old, "path", "left").withColumn("walk_ord", F.coalesce("walk_ord", F.lit(top) + F.col("seq")))
@@ -43,10 +49,10 @@ def applied(g: G.Graph, changes: DataFrame) -> G.Graph:
     gone = last.filter("op = 'delete'").select("path", F.col("seq").alias("pos"))
     fresh = puts.join(old.select("path"), "path", "left_anti").select("path", F.col("walk_ord").alias("ord"))
     universe = old.join(gone.select("path"), "path", "left_anti").unionByName(puts.select("path", "walk_ord").join(old.select("path"), "path", "left_anti"))
-    g = G.refreshed(g, puts, universe, check=False)
-    g, _ = G.promoted(g, fresh)
+    g = _cut(G.refreshed(g, puts, stage(universe, "universe"), check=False))
+    g = _cut(G.promoted(g, fresh)[0])
     g, _ = G.removed(g, gone.select(note_key(F.col("path")).alias("node_key"), "pos"))
-    return G.without_orphans(g)
+    return g
 
 
 def empty(spark: SparkSession) -> G.Graph:
