@@ -7,7 +7,8 @@
    several distinct pairs. Its spoilt characters (replacement and control characters) are learned along with it.
 3. Application. The inferred transformations are undone on every word of every document. A word counts as garbled if
    undoing gives much likelier text than it has now; likelihood is that of pairs of neighbouring characters, counted
-   over all documents. Spoilt characters count by themselves, as there is nothing left to undo.
+   over all documents. So that garbled text doesn't vouch for itself, words that could be garbled by the counts of the
+   distinct texts are left out of these counts. Spoilt characters count by themselves, as there is nothing left to undo.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,19 +120,22 @@ def _signs(c: np.ndarray) -> np.ndarray:
     return _slots(c, np.zeros(len(c), np.uint32))
 
 
-def pair_counts(docs: DataFrame) -> np.ndarray:
+def pair_counts(docs: DataFrame, but: Broadcast | None = None) -> np.ndarray:
     """In how many documents each (hashed) character and pair of neighbours is found; the last element is the number of documents.
 
-    Every task adds up dense blocks of the table; blocks are summed by a distributed reduction, and the driver gets the
+    With ``but``, a broadcast (ways, counts), only what the :class:`Undoer` of these leaves as above doubt is counted. Every task adds up dense blocks of the table; blocks are summed by a distributed reduction, and the driver gets the
     one table of fixed size.
     """
     block = PAIR_SLOTS // 64
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(PAIR_SLOTS, np.int64), 0
+        u = Undoer(*but.value) if but else None
         for b in batches:
             for t in b.column(0).to_pylist():
                 n += 1
+                if u:
+                    t = u.undoubted(t)
                 if not t.isascii():
                     c = _codes(f" {t} ")
                     total[np.unique(np.concatenate([_pairs(c)[0], _signs(c[c > 127])]))] += 1
@@ -221,7 +226,8 @@ def learned(docs: DataFrame, least: int = LEAST_PAIRS) -> list[tuple[str, str]]:
 class Undoer:
     """Finds garbled words with the learned transformations and the counts of character pairs."""
 
-    def __init__(self, ways: list[tuple[str, str]], counts: np.ndarray):
+    def __init__(self, ways: list[tuple[str, str]], counts: np.ndarray, clean: np.ndarray | None = None):
+        """``counts`` are those of the distinct texts, by which words are in doubt; ``clean`` those of all documents without such words."""
         # an encoding seen on either side may meet any other; what doesn't fit the text is told by the likelihood
         written = list(dict.fromkeys(w for w, _ in ways))
         read = list(dict.fromkeys(r for _, r in ways))
@@ -229,88 +235,144 @@ class Undoer:
         for w, r in [*ways, *((w, r) for w in written for r in read)]:
             if w != r and w not in self.ways.setdefault(r, []):
                 self.ways[r].append(w)
-        self.docs = max(1, int(counts[-1]))
-        self.counts = counts
+        self.counts = (counts, counts if clean is None else clean)
+        self.docs = [max(1, int(c[-1])) for c in self.counts]
         self.memo: dict[str, tuple[float, str] | None] = {}
-        self.pairs: dict[str, tuple[float, float, bool]] = {}
-        self.usual: dict[str, bool] = {}
+        self.doubts: dict[str, bool] = {}
+        self.pairs: tuple[dict[str, tuple[float, float, bool]], ...] = ({}, {})
+        self.usual: tuple[dict[str, bool], ...] = ({}, {})
 
     def steps(self, text: str) -> Iterator[tuple[str, str]]:
+        """(written, text) of each distinct text that ``text`` may have been; those written in UTF-8 under this name."""
+        seen: dict[bytes, set[str]] = {}
+        given = {text}
         for read, written in self.ways.items():
             data = bytes_read(text, read)
             if data is None:
                 continue
+            done = seen.setdefault(data, set())
             for w in written:
+                if w in done:
+                    continue
+                done.add(w)
                 try:
                     out = data.decode(w)
                 except UnicodeDecodeError:
                     continue
-                if out != text:
+                if out not in given or w == "utf-8" and out != text:
+                    given.add(out)
                     yield w, out
 
-    def _count(self, a: int, b: int) -> int:
-        return int(self.counts[((((a << 21) | b) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 44) & (PAIR_SLOTS - 1)])
+    def _count(self, a: int, b: int, k: int) -> int:
+        return int(self.counts[k][((((a << 21) | b) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 44) & (PAIR_SLOTS - 1)])
 
-    def _pair(self, pair: str) -> tuple[float, float, bool]:
-        """Of two neighbouring characters: the log likelihood as they stand, without the document they are in; as what
-        was written; whether they are seen anywhere. Pairs of frequent characters that chance could have kept apart
-        count as a little seen when they stand in a text."""
-        got = self.pairs.get(pair)
+    def _pair(self, pair: str, k: int) -> tuple[float, float, bool]:
+        """Of two neighbouring characters, by the k-th counts: the log likelihood as they stand, without the document
+        they are in; as what was written; whether they are seen anywhere. Pairs of frequent characters that chance could
+        have kept apart count as a little seen when they stand in a text."""
+        got = self.pairs[k].get(pair)
         if got is None:
-            if len(self.pairs) > 1 << 19:
-                self.pairs.clear()
+            if len(self.pairs[k]) > 1 << 18:
+                self.pairs[k].clear()
             a, b = (32 if c in "\t\r\n" else ord(c) for c in pair)
             if a < 128 and b < 128:
                 got = (0.0, 0.0, True)
             else:
-                n = self._count(a, b)
-                share = [self._count(c, 0) / self.docs if c > 127 else 1.0 for c in (a, b)]
-                here = max(n - 1, 0) + BACK_OFF * self.docs * share[0] * share[1]
-                got = (math.log((here + UNSEEN) / self.docs), math.log((n + UNSEEN) / self.docs), n > 0)
-            self.pairs[pair] = got
+                n, docs = self._count(a, b, k), self.docs[k]
+                share = [self._count(c, 0, k) / docs if c > 127 else 1.0 for c in (a, b)]
+                here = max(n - 1, 0) + BACK_OFF * docs * share[0] * share[1]
+                got = (math.log((here + UNSEEN) / docs), math.log((n + UNSEEN) / docs), n > 0)
+            self.pairs[k][pair] = got
         return got
 
-    def _usual(self, char: str) -> bool:
-        got = self.usual.get(char)
+    def _usual(self, char: str, k: int) -> bool:
+        got = self.usual[k].get(char)
         if got is None:
-            got = self.usual[char] = char < "\x80" or self._count(ord(char), 0) >= max(2, LEAST_SHARE * self.docs)
+            got = self.usual[k][char] = char < "\x80" or self._count(ord(char), 0, k) >= max(2, LEAST_SHARE * self.docs[k])
         return got
 
-    def now(self, word: str) -> float:
+    def now(self, word: str, k: int = 1) -> float:
         """The log likelihood of ``word`` as it stands."""
-        return sum(self._pair(word[i : i + 2])[0] for i in range(len(word) - 1))
+        return sum(self._pair(word[i : i + 2], k)[0] for i in range(len(word) - 1))
 
-    def then(self, word: str) -> float:
-        """The log likelihood of ``word`` as what was written; of rare characters or too many unseen pairs it can't be made."""
-        if not all(map(self._usual, word)):
+    def then(self, word: str, floor: float, k: int = 1) -> float:
+        """The log likelihood of ``word`` as what was written, if above ``floor``; of rare characters or too many unseen pairs it can't be made."""
+        if not all(self._usual(c, k) for c in word):
             return -math.inf
         total, high, unseen = 0.0, 0, 0
         for i in range(len(word) - 1):
-            _, log, seen = self._pair(word[i : i + 2])
+            _, log, seen = self._pair(word[i : i + 2], k)
             if log:
                 total += log
+                if total <= floor:
+                    return -math.inf
                 high += 1
                 unseen += not seen
         return total if unseen <= high * MOST_UNSEEN else -math.inf
 
+    def origins(self, core: str) -> Iterator[tuple[str, bool]]:
+        """(text, strict) of what ``core`` may have been; strict if all its bytes are UTF-8, which text of another encoding hardly is by chance."""
+        for w, out in self.steps(core):
+            more = [out]
+            if w == "utf-8":  # garbled twice or more
+                more += [x for _, x in self.steps(out)]
+            for x in more:
+                if x == core or SPOILT.search(x) and x is not out or any(c < " " for c in x):
+                    continue
+                yield x, w == "utf-8"
+
+    def doubtful(self, word: str) -> bool:
+        """Whether ``word``, with the signs around it at its ends, could be garbled: some origin is likelier, however little, or strict. Too little evidence is no doubt."""
+        got = self.doubts.get(word)
+        if got is None:
+            now = self.now(word, 0)
+            got = self._telling(word) and any(self.then(word[0] + x + word[-1], -math.inf if strict else now, 0) > -math.inf for x, strict in self.origins(word[1:-1]))
+            if len(self.doubts) > 1 << 17:
+                self.doubts.clear()
+            self.doubts[word] = got
+        return got
+
+    def undoubted(self, text: str) -> str:
+        """``text`` with blanks in place of the words, and runs of other words, that could be garbled."""
+        if text.isascii():
+            return ""
+        out, at = [], 0
+        for m in _WORD.finditer(text):
+            word = m.group()
+            if word.isascii():
+                continue
+            spans = [m.span()] if self.doubtful(f" {word} ") else [(a, z) for a, z, signs in self._runs(word, m.start(), text) if self.doubtful(signs)]
+            for a, z in spans:
+                out += [text[at:a], " "]
+                at = z
+        return "".join(out) + text[at:]
+
+    @staticmethod
+    def _telling(word: str) -> bool:
+        """Whether ``word`` has two signs beyond ASCII, or three letters beside one."""
+        return len(word.encode("ascii", "ignore")) < len(word) - 1 or sum(c.isalpha() and c < "\x80" for c in word) >= 3
+
+    @staticmethod
+    def _runs(word: str, start: int, text: str) -> Iterator[tuple[int, int, str]]:
+        """(from, to, signs) of the runs within a word that starts there, with the signs around them."""
+        for r in _RUN.finditer(word):
+            if len(r.group()) == len(word):
+                continue
+            a, z = start + r.start(), start + r.end()
+            yield a, z, (text[a - 1] if r.start() else " ") + r.group() + (text[z] if r.end() < len(word) else " ")
+
     def best(self, word: str) -> tuple[float, str] | None:
         """(gain, text) of the likeliest way to undo ``word``, if it gains enough. ``word`` has the signs around it at its ends."""
         if word in self.memo:
             return self.memo[word]
         left, core, right = word[0], word[1:-1], word[-1]
-        now = self.now(word)
+        now, among = self.now(word), self.now(word, 0)
         got: tuple[float, str] | None = None
         if now < -LEAST_GAIN:
-            for w, out in self.steps(core):
-                more = [out]
-                if w == "utf-8":  # garbled twice or more
-                    more += [x for _, x in self.steps(out)]
-                for x in more:
-                    if SPOILT.search(x) and x is not out or any(c < " " for c in x):
-                        continue
-                    gain = self.then(left + x + right) - now
-                    if gain > LEAST_GAIN and (got is None or gain > got[0]):
-                        got = (gain, x)
+            for x, strict in self.origins(core):
+                gain = self.then(left + x + right, now + LEAST_GAIN) - now
+                if gain > LEAST_GAIN and (got is None or gain > got[0]) and (strict or self.then(left + x + right, among, 0) > -math.inf):
+                    got = (gain, x)
         if len(self.memo) > 1 << 17:
             self.memo.clear()
         self.memo[word] = got
@@ -330,18 +392,15 @@ class Undoer:
             if word.isascii():
                 continue
             spoilt = SPOILT.search(word) is not None
-            sure = spoilt or len(word.encode("ascii", "ignore")) < len(word) - 1 or sum(c.isalpha() and c < "\x80" for c in word) >= 3
+            sure = spoilt or self._telling(word)
             got = self.best(f" {word} ")
             hit = got is not None or spoilt
             if got:
                 out += [text[at : m.start()], got[1]]
                 at = m.end()
             else:
-                for r in _RUN.finditer(word):
-                    if len(r.group()) == len(word):
-                        continue
-                    a, z = m.start() + r.start(), m.start() + r.end()
-                    got = self.best((text[a - 1] if r.start() else " ") + r.group() + (text[z] if r.end() < len(word) else " "))
+                for a, z, signs in self._runs(word, m.start(), text):
+                    got = self.best(signs)
                     if got:
                         hit = True
                         out += [text[at:a], got[1]]
@@ -363,7 +422,8 @@ def repaired_texts(docs: DataFrame) -> DataFrame:
     live = docs.select("doc_id", "text").filter("doc_id is not null and text is not null and text <> ''")
     live = spread(live, "doc_id")
     ways = learned(live)
-    shared = spark.sparkContext.broadcast((ways, pair_counts(live)))
+    first = spark.sparkContext.broadcast((ways, pair_counts(live.select("text").distinct())))
+    shared = spark.sparkContext.broadcast((*first.value, pair_counts(live, first)))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u = None

@@ -163,6 +163,16 @@ def test_repair(spark):
     assert M.repaired_texts(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("copies", [True, False])
+@pytest.mark.parametrize("way", [("utf-8", "cp1252"), ("cp1252", "mac_roman")])
+def test_garbled_text_does_not_vouch_for_itself(spark, monkeypatch, copies, way):
+    monkeypatch.setattr(M, "learned", lambda docs: [way])
+    docs = [(i, f"{CLEAN[i % 5]} {i}".replace("{n}", "Astor")) for i in range(400)]
+    bad = [(1000 + i, M.garble(f"{CLEAN[4 if copies else (1, 2, 4)[i % 3]]} {0 if copies else i}", *way)) for i in range(200)]
+    df = spark.createDataFrame(docs + bad, "doc_id long, text string")
+    assert sorted(r.doc_id for r in M.repaired_texts(df).collect()) == [i for i, _ in bad]
+
+
 def test_codecs():
     for codec in M.READ:
         data = bytes(range(256)) if not codec.startswith(("gbk", "cp9", "euc", "big", "utf")) else "漢字 é".encode(codec if codec in ("utf-8", "gbk", "big5") else "utf-8", "replace")
