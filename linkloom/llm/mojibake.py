@@ -4,7 +4,8 @@
    characters. In a group the most frequent form is the clean one, every other a possible garbled twin of it.
 2. Alignment. Between the ASCII characters that a pair shares, the runs of other characters are aligned. A
    transformation "bytes of A read as B" is inferred if it turns the clean runs into the garbled ones, exactly and in
-   several distinct pairs. Its spoilt characters (replacement and control characters) are learned along with it.
+   several distinct pairs. Its spoilt characters (replacement and control characters) are learned along with it. Words
+   are also joined, each with all others, on the bytes that one is written in and the other was read from.
 3. Application. The inferred transformations are undone on every word of every document. A word counts as garbled if
    undoing gives much likelier text than it has now; likelihood is that of pairs of neighbouring characters, counted
    over all documents. So that garbled text doesn't vouch for itself, words that could be garbled by the counts of the
@@ -14,6 +15,7 @@
 from __future__ import annotations
 
 import codecs
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -25,13 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.operators.arrays import flat
-from linkloom.runtime import partitions, ship, spread, table
+from linkloom.runtime import partitions, ship, spread, stage, table
 
 #: What text may have been written in, and what it may have been read as. Alignment decides among them.
 WRITTEN = ("utf-8", "cp1252", "cp1250", "cp1251", "koi8-r", "cp866", "mac_roman", "cp437", "cp850", "cp932", "euc_jp", "gbk", "big5", "cp949", "iso8859-5", "iso8859-2", "mac_cyrillic")
 READ = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "cp1254", "iso8859-2", "iso8859-5", "iso8859-15", "koi8-r", "mac_roman", "mac_cyrillic", "cp437", "cp850", "cp852", "cp866", "gbk", "cp932", "euc_jp", "big5", "cp949", "utf-8")
 #: Distinct pairs of twins that must show a transformation.
 LEAST_PAIRS = 2
+#: ASCII letters and digits that words with the same bytes share, or these and bytes beyond ASCII: shorter ones meet by chance.
+LEAST_ASCII, LEAST_BYTES = 4, 6
 #: Size of the table of character pairs, which bounds what is broadcast to 8 bytes each.
 PAIR_SLOTS = 1 << 20
 #: Log likelihood that undoing must gain, and what an unseen pair of characters counts as.
@@ -160,23 +164,65 @@ def pair_counts(docs: DataFrame, but: Broadcast | None = None) -> np.ndarray:
     return out
 
 
-def twins(docs: DataFrame, least_ascii: int = 4) -> DataFrame:
-    """(clean, other) of stretches that are the same without their non-ASCII characters; ``clean`` is the most frequent form.
-
-    Each form is held against the one clean form of its group, so the work grows with the number of forms. Forms are
-    counted before they are grouped, so a stretch that a third of all documents hold is one row.
-    """
-    # words, and pairs of words, with some character that isn't ASCII
+def stretches(docs: DataFrame) -> DataFrame:
+    """(form, n): the distinct words and pairs of words with some character that isn't ASCII, so a stretch that a third of all documents hold is one row."""
     w = F.split(F.col("text"), r"[ \t\r\n]+")
     two = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
     high = F.filter(F.array_distinct(F.concat(w, two)), lambda x: x.rlike(r"[^\x00-\x7f]"))
-    forms = docs.select(F.explode(high).alias("form")).groupBy("form").agg(F.count("*").alias("n"))
+    return docs.select(F.explode(high).alias("form")).groupBy("form").agg(F.count("*").alias("n"))
+
+
+def twins(forms: DataFrame, least_ascii: int = LEAST_ASCII) -> DataFrame:
+    """(clean, other) of stretches that are the same without their non-ASCII characters; ``clean`` is the most frequent form.
+
+    Each form is held against the one clean form of its group, so the work grows with the number of forms. Only here are
+    twins found whose garbled form lost bytes; :func:`same_bytes` has all others.
+    """
     keyed = forms.withColumn("bare", F.regexp_replace("form", r"[^\x00-\x7f]", ""))
     keyed = keyed.filter(F.length(F.regexp_replace("bare", "[^0-9A-Za-z]", "")) >= least_ascii)
     top = keyed.groupBy("bare").agg(F.max(F.struct("n", F.col("form").alias("f"))).alias("top"), F.count("*").alias("forms")).filter("forms > 1").select("bare", F.col("top.f").alias("clean"))
     return keyed.join(top, "bare").filter("form <> clean").select("clean", F.col("form").alias("other"))
 
 
+def same_bytes(forms: DataFrame) -> DataFrame:
+    """(clean, other): each word with each other word that some encoding reads from the bytes that some encoding writes it in.
+
+    An encoding writes or reads only one word as given bytes, so a group has no more members than there are encodings.
+    Both orders of a pair come out where both are possible. Groups are formed by a hash of the bytes, and alignment is exact.
+    """
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys: list[int] = []
+            words: list[str] = []
+            sides: list[int] = []
+            for word in b.column(0).to_pylist():
+                by: dict[bytes, int] = {}
+                for codec in WRITTEN:
+                    try:
+                        data = word.encode(codec)
+                    except UnicodeEncodeError:
+                        continue
+                    by[data] = by.get(data, 0) | 1
+                for codec in READ:
+                    data = bytes_read(word, codec)
+                    if data is not None:
+                        by[data] = by.get(data, 0) | 2
+                letters = sum(c.isalnum() and c < "\x80" for c in word)
+                for data, side in by.items():
+                    if letters >= LEAST_ASCII or letters + sum(x > 127 for x in data) >= LEAST_BYTES:
+                        keys.append(int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "big", signed=True))
+                        words.append(word)
+                        sides.append(side)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(words, pa.string()), pa.array(sides, pa.int32())], names=["key", "word", "side"])
+
+    words = forms.select("form").filter(~F.col("form").contains(" ")).repartition(partitions(forms.sparkSession))
+    groups = words.mapInArrow(spell, "key long, word string, side int").groupBy("key").agg(F.collect_list(F.struct("word", "side")).alias("of")).filter(F.size("of") > 1)
+    a = groups.select("of", F.explode("of").alias("a")).filter("a.side <> 2")
+    pairs = a.select("a", F.explode("of").alias("b")).filter("b.side <> 1 and a.word <> b.word")
+    return pairs.select(F.col("a.word").alias("clean"), F.col("b.word").alias("other")).distinct()
+
+
 def learned(docs: DataFrame, least: int = LEAST_PAIRS) -> list[tuple[str, str]]:
     """(written, read) of the transformations that at least ``least`` distinct pairs of twins show, most shown first.
 
@@ -219,7 +265,8 @@ def learned(docs: DataFrame, least: int = LEAST_PAIRS) -> list[tuple[str, str]]:
                 rows += [(k // len(READ), k % len(READ), f"{p}\u0000{q}") for k in known or () for p, q in changed]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())], names=["w", "r", "shown"])
 
-    found = twins(docs).repartition(partitions(docs.sparkSession)).mapInArrow(align, "w int, r int, shown string").distinct().groupBy("w", "r").count().filter(F.col("count") >= least)
+    forms = stage(stretches(docs), "stretches")
+    found = twins(forms).unionByName(same_bytes(forms)).repartition(partitions(docs.sparkSession)).mapInArrow(align, "w int, r int, shown string").distinct().groupBy("w", "r").count().filter(F.col("count") >= least)
     return [(WRITTEN[x["w"]], READ[x["r"]]) for x in sorted(found.collect(), key=lambda x: (-x["count"], x["w"], x["r"]))]
 
 

@@ -173,6 +173,14 @@ def test_garbled_text_does_not_vouch_for_itself(spark, monkeypatch, copies, way)
     assert sorted(r.doc_id for r in M.repaired_texts(df).collect()) == [i for i, _ in bad]
 
 
+def test_every_form_is_aligned(spark):
+    words = ["карточка", "почтовый", "вечером"]
+    garbled = [M.garble(w, "cp1251", "koi8-r") for w in words]
+    texts = [w for w in words] + [g for g in garbled for _ in range(3)] + ["überall écrit"] * 5  # no ASCII letter, and the garbled form is the frequent one
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert ("cp1251", "koi8-r") in M.learned(docs)
+
+
 def test_codecs():
     for codec in M.READ:
         data = bytes(range(256)) if not codec.startswith(("gbk", "cp9", "euc", "big", "utf")) else "漢字 é".encode(codec if codec in ("utf-8", "gbk", "big5") else "utf-8", "replace")
