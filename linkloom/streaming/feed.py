@@ -1,14 +1,18 @@
 """A graph kept up to date from a stream of changes, batch by batch.
 
 A change is (seq long, op string, path string, to_path string, content string, mtime long) with the operations ``put``,
-``delete`` and ``move``. In a batch only the last change of each path counts. Each batch is applied to the snapshot that
+``delete`` and ``move``. A batch is cut wherever a move shares a path with another change, so that chains of moves are
+made in order of ``seq``; between two cuts only the last change of each path counts. A move that can't be made, as its file
+isn't there or its destination is taken, is logged as a warning. Each batch is applied to the snapshot that
 the one before it left and is published by one pointer swap. Snapshot k + 1 holds batch k, so a batch that is handed
 over again after a failure is left out; a store should be fed by one stream only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import logging
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,6 +22,10 @@ from linkloom.operators.resolve import note_key
 from linkloom.runtime import stage
 from linkloom.sources.store import Store
 
+log = logging.getLogger(__name__)
+#: Moves that can't be made which a warning names; it counts all.
+NAMED = 20
+
 CHANGES = "seq long, op string, path string, to_path string, content string, mtime long"
 
 
@@ -27,19 +35,48 @@ def last_changes(changes: DataFrame) -> DataFrame:
     return rows.groupBy("path").agg(F.max_by(F.struct("op", "to_path", "content", "mtime", "seq"), "seq").alias("c")).select("path", "c.*")
 
 
+def conflicts(changes: DataFrame) -> DataFrame:
+    """(prev, seq) of changes that follow each other on a path, as source or destination, if one of them is a move."""
+    move = F.col("op") == "move"
+    rows = changes.filter("path is not null and seq is not null and op in ('put', 'delete', 'move')")
+    touched = rows.select("seq", move.alias("move"), F.explode(F.when(move & F.col("to_path").isNotNull(), F.array("path", "to_path")).otherwise(F.array("path"))).alias("at"))
+    touched = touched.groupBy("at", "seq").agg(F.max("move").alias("move"))
+    w = Window.partitionBy("at").orderBy("seq")
+    return touched.select(F.lag("seq").over(w).alias("prev"), "seq", (F.col("move") | F.lag("move").over(w)).alias("either")).filter("either and prev is not null").select("prev", "seq")
+
+
 def _cut(g: G.Graph) -> G.Graph:
     """The graph as tables, so that the plans of the steps don't pile up."""
     return G.Graph(stage(g.nodes, "nodes"), stage(g.edges, "edges"))
 
 
 def applied(g: G.Graph, changes: DataFrame) -> G.Graph:
-    """``g`` after a batch: moves first, then new and changed notes, then what is gone. Links that escape or are unclear end in phantoms."""
+    """``g`` after a batch, part by part: each ends before the first change that conflicts with one in it."""
+    changes = stage(changes, "batch")
+    clash = stage(conflicts(changes), "conflicts")
+    part, rest = changes, clash
+    while (end := rest.agg(F.min("seq")).first()[0]) is not None:
+        g = _cut(_applied(g, part.filter(F.col("seq") < end)))
+        part, rest = changes.filter(F.col("seq") >= end), clash.filter(F.col("prev") >= end)
+    return _applied(g, part)
+
+
+def _refused(moves: DataFrame, made: DataFrame) -> None:
+    """Warn of the moves that weren't made."""
+    lost = moves.filter("from_path <> to_path").join(made, ["from_path", "to_path"], "left_anti")
+    if n := lost.count():
+        log.warning("%d moves can't be made: %s", n, ", ".join(f"{r.from_path} -> {r.to_path}" for r in lost.orderBy("from_path").limit(NAMED).collect()))
+
+
+def _applied(g: G.Graph, changes: DataFrame) -> G.Graph:
+    """``g`` after changes without conflicts: moves first, then new and changed notes, then what is gone. Links that escape or are unclear end in phantoms."""
     last = stage(last_changes(changes), "changes")
-    moved = last.filter("op = 'move' and to_path is not null").select(F.col("path").alias("from_path"), "to_path")
+    wanted = last.filter("op = 'move'").select(F.col("path").alias("from_path"), F.coalesce("to_path", F.lit("")).alias("to_path"))
     known = g.nodes.filter("exists_flag and path is not null").select(F.col("path").alias("from_path"))
-    moved = moved.join(known, "from_path", "left_semi").dropDuplicates(["to_path"])
+    moved = wanted.filter("to_path <> ''").join(known, "from_path", "left_semi").dropDuplicates(["to_path"])
     free = g.nodes.filter("exists_flag and path is not null").select(F.col("path").alias("to_path"))
     moved = stage(moved.join(free, "to_path", "left_anti").select("from_path", "to_path"), "moved")
+    _refused(wanted, moved)
     if moved.limit(1).collect():
         g = _cut(G.renamed(G.relinked(g, stage(R.move_plan(g, moved), "plan")), moved))
     old = g.nodes.filter("type = 'note'").select("path", F.col("node_ord").alias("walk_ord"))

@@ -42,3 +42,13 @@ def test_feed(spark, tmp_path):
     assert ("note:path:d/C.md", "note:path:n/A2.md", "[[n/A2]]") in edges and ("note:path:n/A2.md", "note:path:B.md", "[[B]]") in edges
     nodes, edges = push((6, "delete", "B.md"), (None, "put", "z.md", None, "", 1))
     assert nodes == ["note:path:d/C.md", "note:path:n/A2.md", "phantom:name:b"]
+
+
+def test_moves_in_one_batch(spark, caplog):
+    def rows(*r):
+        return spark.createDataFrame([(*x, *[None] * (6 - len(x))) for x in r], feed.CHANGES)
+
+    g = feed.applied(feed.empty(spark), rows((1, "put", "A.md", None, "", 1), (2, "put", "B.md", None, "", 2), (3, "put", "D.md", None, "", 3)))
+    g = feed.applied(feed._cut(g), rows((4, "move", "B.md", "C.md"), (5, "move", "A.md", "B.md"), (6, "move", "D.md", "C.md")))
+    assert {r.path: r.mtime for r in feed.stage(g.nodes, "nodes").collect()} == {"B.md": 1, "C.md": 2, "D.md": 3}
+    assert "1 moves can't be made: D.md -> C.md" in caplog.text
