@@ -178,7 +178,7 @@ def test_every_form_is_aligned(spark):
     garbled = [M.garble(w, "cp1251", "koi8-r") for w in words]
     texts = [w for w in words] + [g for g in garbled for _ in range(3)] + ["überall écrit"] * 5  # no ASCII letter, and the garbled form is the frequent one
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert ("cp1251", "koi8-r") in M.learned(docs)
+    assert ("cp1251", "koi8-r") in M.learned(M.stretches(docs))
 
 
 def test_codecs():
@@ -190,3 +190,28 @@ def test_codecs():
     assert M.undo(M.garble("naïve café", "utf-8", "cp1252"), "utf-8", "cp1252") == "naïve café"
     assert unicodedata.name(M.undo("Ã©", "utf-8", "latin-1")) == "LATIN SMALL LETTER E WITH ACUTE"
     assert base64.b64encode(M.bytes_read("\x9dÃ", "cp1252")) == b"ncM="
+
+
+def test_fewest_ways():
+    assert M.fewest([([1, 2], 5), ([2, 3], 4), ([3], 1), ([4], 2)], 2, 0.0) == [(2, 9), (4, 2)]
+    assert M.fewest([([1], 1000), ([2], 2)], 2, 0.01) == [(1, 1000)]  # evidence in proportion to all there is
+    assert M.fewest([], 2, 0.0) == []
+
+
+def test_stretches_count_documents_and_texts(spark):
+    docs = [(i, "é à\xa0b\té") for i in range(5)] + [(9, f"é{'x' * 3} 漢") for _ in range(2)] + [(10, "plain")] + [(20 + i, f"ß {i}") for i in range(200)]
+    got = {r.form: (r.n, r.texts) for r in M.stretches(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got["é"] == (5, 1) and got["à\xa0b"] == (5, 1) and got["漢"] == (2, 1) and got["éxxx 漢"] == (2, 0)
+    assert got[""][0] == 208 and got["ß"][0] == 200 and 100 < got["ß"][1] <= 200
+
+
+def test_bitmap_and_long_words(spark):
+    words = spark.createDataFrame([(f"é{i}",) for i in range(300)], "form string")
+    bits = M._bitmap(words)
+    slots = {M._word_slot(f"é{i}") for i in range(300)}
+    assert int(np.unpackbits(bits).sum()) == len(slots) and all(bits[s >> 3] >> (7 - (s & 7)) & 1 for s in slots)
+    long = "Größe " * 20_000 + "ungewÃ¶hnlich"
+    docs = [(1, long), (1, long), (2, "é" * 100_000), (3, "​"), (4, "�")] + [(10 + i, f"Die Größe ist ungewöhnlich {i}") for i in range(50)] + [(100 + i, f"GrÃ¶Ã\x9fe ungewÃ¶hnlich {i}") for i in range(3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(r.doc_id for r in M.damaged_documents(df).collect()) == [1, 4, 100, 101, 102]
+    assert sorted(r.doc_id for r in M.repaired_texts(df).collect()) == [1, 1, 4, 100, 101, 102]
