@@ -20,6 +20,7 @@ SQL = {
     "p2_found": topn.P2_SQL,
     "p3_found": cooccurrence.P3_SQL,
     "p3_pairs": cooccurrence.P3_PAIRS_SQL,
+    "p4_found": lookalikes.P4_SQL,
     "p7_found": leakage.P7_SQL,
     "p7_kept": leakage.P7_KEPT_SQL,
 }

@@ -24,6 +24,7 @@ EDGE = "id long, dst_key string, raw_link string, space string"
         ("Ａbc", "Abc", True), ("é", "é", True), ("ｶﾞ", "ガ", True), ("ﬁn", "fin", True), ("a​b", "ab", True), ("a b", "a b", True), ("a‑b", "a-b", True),
         ("аbс", "abc", True), ("ё", "ë", True), ("ǘ", "ǘ", True), ("ệ", "ệ", True), ("Abc", "abc", False), ("e", "é", False),
         ("x²", "x2", False), ("l", "I", False), ("ß", "ss", False), ("は", "ハ", False),
+        ("й", "и\u0306", True), ("ベ", "へ\u3099", True), ("ｶﾞ", "力\u3099", True), ("ﺐ", "ب", True), ("ά", "á", True), ("x²", "х²", True), ("σ", "o", False), ("ด", "ค", False), ("І", "l", False),
     ],
 )
 def test_look(spark, a, b, same):
@@ -32,6 +33,22 @@ def test_look(spark, a, b, same):
     assert [tuple(r) for r in got] == ([("path", 1, 2)] if same and a != b else [])
 
 
+def test_letters_of_many_scripts(spark):
+    letters = A.letters_by_rule(spark)
+    for pair in ("аa", "оo", "ΡP", "ρp", "υu", "օo", "ᎪA", "ⲞO", "ꓐB", "ⵔO", "סo", "力カ", "ჿo", "𐐬o"):
+        assert letters[pair[0]] == pair[1]
+    fixed = {c for old, _ in A.LOOK_ALIKE for c in old}
+    assert all(c.lower() == c or to.lower() != to or not to.isascii() for c, to in letters.items())  # capitals stay capitals
+    tests = [A.regex.compile(rf"\p{{Script={n}}}") for n in A._SCRIPTS]
+    seen = set()
+    for c, to in letters.items():  # letters of one script stay apart
+        if c not in fixed:
+            own = next((k for k, t in enumerate(tests) if t.match(c)), None)
+            assert own is None or (own, to) not in seen
+            seen.add((own, to))
+    assert not any(c in letters for c in "0123456789lIоο"[:12])
+
+
 def test_look_alike_cases(spark):
     nodes = spark.createDataFrame(
         [
@@ -139,6 +156,41 @@ def test_leaks(spark):
     assert L.leaked_passages(d.limit(0), i, 4).count() == 0 and L.leaked_passages(d, i.limit(0), 4).count() == 0
 
 
+def test_leaks_in_chunks_and_slices(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: rng.choice("ab")
+    items = [(i, " ".join(word() for _ in range(rng.randint(4, 20)))) for i in range(8)] + [(8, "a " * 30)]
+    docs = [(d, " ".join(word() for _ in range(rng.randint(0, 50)))) for d in range(10)] + [(10, "a " * 80), (11, "b a " * 40)]
+    want = brute(docs, items, 4)
+    monkeypatch.setattr(L, "SLICE", 7)
+    monkeypatch.setattr(L, "BLOCK", 5)
+    index = L.EvalIndex(items, 4)
+    found = index.matches([d for d, _ in docs], [L.words(t) for _, t in docs], [0] * len(docs))
+    assert {(int(i), int(d)): int(n) for i, d, n, *_ in zip(*found)} == want
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.item_id, r.doc_id): r.n_words for r in L.leaked_passages(d, i, 4, chunk_bytes=60).collect()}  # several passes
+    assert got == want
+
+
+def test_leaks_of_one_word_repeated():
+    index = L.EvalIndex([(1, "a " * 300), (2, "b c " * 200)], 12)
+    texts = [["a"] * 200_000, ["b", "c"] * 100_000, ["a"] * 11]
+    found = index.matches([1, 2, 3], texts, [0, 0, 0])
+    assert [tuple(map(int, x[:3])) for x in zip(*found)] == [(1, 1, 300), (2, 2, 400)]
+    assert sum(len(at) for at, _ in _all_pairs(index, texts)) < 500_000  # not words times words
+
+
+def _all_pairs(index, texts):
+    flat = [x for t in texts for x in t]
+    number = {x: i for i, x in enumerate(dict.fromkeys(flat))}
+    codes = np.array([number[x] for x in flat])
+    mine = np.array([number.get(index.vocabulary[w], -1) for w in index.words])
+    order = L.suffix_array(codes, index.depth)
+    padded = np.append(codes, np.full(index.depth, -2))
+    lo, hi = L.ranges(padded, order, mine[index.starts[:, None] + np.arange(index.least)])
+    return index._pairs(index.starts[hi > lo], lo[hi > lo], hi[hi > lo], order, np.append(-3, codes[:-1]), mine)
+
+
 CLEAN = [
     "The façade’s gravel near the café cost 20 € — “quite” a sum for {n}.", "Später müssen wir die Küche und die Größe {n} prüfen.", "Según {n}, el jardín y la montaña están en otoño.",
     "Почему книга учёта {n} не готова вчера вечером.", "Les élèves de {n} préfèrent la forêt où naît l’été.", "次の作業は図書の目録 {n} のリンクを直すことです。",
