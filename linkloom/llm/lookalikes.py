@@ -40,7 +40,7 @@ _MANY = ((0x3400, 0xA000), (0xAC00, 0xD7A4), (0xF900, 0xFB00), (0x17000, 0x18D09
 _SCRIPTS = ("Latin", "Greek", "Cyrillic", "Armenian", "Hebrew", "Arabic", "Cherokee", "Coptic", "Georgian", "Katakana", "Hiragana", "Lisu", "Tifinagh", "Deseret", "Canadian_Aboriginal", "Osage", "Warang_Citi")
 
 #: Parts into which the links to one phantom are split, as a third of all may be to one.
-SALTS = 16
+SALTS = 8
 
 
 def letters_by_rule(spark: SparkSession) -> dict[str, str]:
