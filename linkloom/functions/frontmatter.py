@@ -2,34 +2,11 @@
 
 from __future__ import annotations
 
-try:
-    import yaml
-except ImportError:  # then only the plain forms are read
-    yaml = None
-
-
-def _plain(block: str) -> list[tuple[str, int, bool]]:
-    """Without a YAML library: ``tags: a, b``, ``tags: [a, b]`` and a dashed list. (value, line, is a scalar)."""
-    out: list[tuple[str, int, bool]] = []
-    inside = False
-    for n, line in enumerate(block.split("\n")):
-        if line.startswith("tags:"):
-            value = line[5:].strip()
-            inside = not value
-            if value.startswith("[") and value.endswith("]"):
-                out += [(v.strip().strip("'\""), n, False) for v in value[1:-1].split(",") if v.strip()]
-            elif value:
-                out.append((value.strip("'\""), n, True))
-        elif inside and line.strip().startswith("- "):
-            out.append((line.strip()[2:].strip().strip("'\""), n, False))
-        elif line.strip() and not line.startswith((" ", "-")):
-            inside = False
-    return out
-
 
 def _values(block: str) -> list[tuple[str, int, bool]]:
-    if yaml is None:
-        return _plain(block)
+    """(value, line, is a scalar) of what the top-level key ``tags`` holds. PyYAML must be there: another reader would read other tags."""
+    import yaml
+
     try:
         root = yaml.compose(block, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader))
     except (yaml.YAMLError, ValueError):

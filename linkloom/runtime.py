@@ -8,12 +8,16 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _STAGED: dict[str, SparkSession] = {}
 _SHIPPED: set[str] = set()
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,23 +42,43 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a compressed table in the shared folder and read it again.
 
     Cuts the lineage, so that a lost executor costs a reread and not a recomputation, and lets several branches of a
-    plan start from one result. The table is deleted when the driver's Python ends.
+    plan start from one result. The table is deleted at the end of the :func:`scope` it was made in, or else when the
+    driver's Python ends.
     """
     spark = df.sparkSession
     at = f"{shared_dir(spark).rstrip('/')}/linkloom/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     _STAGED[at] = spark
+    if (mine := _SCOPE.get()) is not None:
+        mine.append(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def _drop(at: str) -> None:
+    spark = _STAGED.pop(at)
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the JVM may have gone first
+        pass
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Tables staged within are deleted at the end: for jobs of a driver that lives long, such as the batches of a stream."""
+    token = _SCOPE.set([])
+    try:
+        yield
+    finally:
+        for at in _SCOPE.get():
+            _drop(at)
+        _SCOPE.reset(token)
+
+
 @atexit.register
 def _drop_staged() -> None:
-    for at, spark in _STAGED.items():
-        try:
-            path = spark._jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        except Exception:  # the JVM may have gone first
-            pass
+    for at in list(_STAGED):
+        _drop(at)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -63,9 +87,9 @@ def partitions(spark: SparkSession) -> int:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors of a cluster once, so that Python workers can import it."""
+    """Send this package to the executors once, so that Python workers can import it, wherever they were started."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local" or sc.applicationId in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     _SHIPPED.add(sc.applicationId)
     root = Path(__file__).resolve().parent

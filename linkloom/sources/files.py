@@ -64,6 +64,15 @@ def list_assets(vault: str, excludes: list[str] = ()) -> list[str]:
     return _kept([p for p in _walk(vault, False) if not p.lower().endswith(".md")], list(excludes))
 
 
+def everything(vault: str) -> list[str]:
+    """All that a path can lead to: files and folders, hidden, excluded and empty ones and the data folder included."""
+    out: list[str] = []
+    for top, dirs, names in os.walk(vault):
+        rel = os.path.relpath(top, vault).replace(os.sep, "/")
+        out += [n if rel == "." else f"{rel}/{n}" for n in (*dirs, *names)]
+    return sorted(out)
+
+
 def first_other_file(vault: str, folder: str) -> str | None:
     """The first file below ``folder`` that isn't a note, hidden ones aside."""
     inside = [p for p in list_assets(vault) if p.startswith(folder.rstrip("/") + "/")]

@@ -283,9 +283,7 @@ class Vault:
 
     def repair(self, dry_run: bool = False) -> dict:
         names, _ = self._listed()
-        there = {p for p in [*FS.list_notes(self.root), *FS.list_assets(self.root)]}
-        there |= {up for p in there for up in _parents(p)}
-        plan, skipped = R.repair_plan(occurrences(self._notes(names)), self._frames(names, [])[0], self._paths(sorted(there)))
+        plan, skipped = R.repair_plan(occurrences(self._notes(names)), self._frames(names, [])[0], self._paths(FS.everything(self.root)))
         skipped = self._skipped(skipped)
         return {"rewritten": self._finish(plan, dry_run), "skipped": skipped}
 
@@ -370,7 +368,3 @@ class Vault:
         show = lambda kind: [r.asDict() for r in Q.conflicts(g, kind).collect()]
         return {"basename_conflicts": show("note"), "asset_conflicts": show("asset"), "phantoms": [r.name for r in Q.phantoms(g).collect()]}
 
-
-def _parents(path: str) -> list[str]:
-    parts = path.split("/")
-    return ["/".join(parts[:i]) for i in range(1, len(parts))]

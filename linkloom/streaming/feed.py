@@ -3,23 +3,26 @@
 A change is (seq long, op string, path string, to_path string, content string, mtime long) with the operations ``put``,
 ``delete`` and ``move``. A batch is cut wherever a move shares a path with another change, so that chains of moves are
 made in order of ``seq``; between two cuts only the last change of each path counts. A move that can't be made, as its file
-isn't there or its destination is taken, is logged as a warning. Each batch is applied to the snapshot that
-the one before it left and is published by one pointer swap. Snapshot k + 1 holds batch k, so a batch that is handed
-over again after a failure is left out; a store should be fed by one stream only.
+isn't there or its destination is taken, is logged as a warning. Links within a moved note follow it as those to it do. Each
+batch is applied to the snapshot that the one before it left and is published by one pointer swap, together with the
+stream's id and the batch's number; so a batch that is handed over again after a failure is left out, whatever else has
+been published to the store. What a batch stages is deleted at its end.
 """
 
 from __future__ import annotations
 
+import json
 import logging
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from linkloom.functions import links
 from linkloom.operators import graph as G
 from linkloom.operators import rewrite as R
 from linkloom.operators.resolve import note_key
-from linkloom.runtime import stage
+from linkloom.runtime import scope, stage
 from linkloom.sources.store import Store
 
 log = logging.getLogger(__name__)
@@ -61,6 +64,15 @@ def applied(g: G.Graph, changes: DataFrame) -> G.Graph:
     return _applied(g, part)
 
 
+def written_links(g: G.Graph, sources: DataFrame) -> DataFrame:
+    """The links of the notes ``sources`` (path), read again from their raw form, as extraction gives them."""
+    src = g.nodes.filter("type = 'note' and exists_flag").join(sources, "path", "left_semi").select(F.col("node_key").alias("src_key"), F.col("path").alias("src_path"), F.col("node_ord").alias("walk_ord"))
+    raw, line = F.col("raw_link"), F.col("line_start")
+    own = g.edges.filter(F.col("link_type").isin("wikilink", "markdown")).join(src, "src_key")
+    read = F.when(F.col("link_type") == "wikilink", links.wikilinks(raw, line)).otherwise(links.markdown_links(raw, line))
+    return own.withColumn("o", F.try_element_at(read, F.lit(1))).filter("o is not null").select("src_path", "o.target", "o.is_basename", "o.is_relative", "link_type", "raw_link", "o.subpath", "line_start", "line_end", "walk_ord", "occ_ord")
+
+
 def _refused(moves: DataFrame, made: DataFrame) -> None:
     """Warn of the moves that weren't made."""
     lost = moves.filter("from_path <> to_path").join(made, ["from_path", "to_path"], "left_anti")
@@ -78,7 +90,8 @@ def _applied(g: G.Graph, changes: DataFrame) -> G.Graph:
     moved = stage(moved.join(free, "to_path", "left_anti").select("from_path", "to_path"), "moved")
     _refused(wanted, moved)
     if moved.limit(1).collect():
-        g = _cut(G.renamed(G.relinked(g, stage(R.move_plan(g, moved), "plan")), moved))
+        inside = R.moved_outgoing_plan(g, written_links(g, moved.select(F.col("from_path").alias("path"))), moved, batch=True)
+        g = _cut(G.renamed(G.relinked(g, stage(R.move_plan(g, moved).unionByName(inside), "plan")), moved))
     old = g.nodes.filter("type = 'note'").select("path", F.col("node_ord").alias("walk_ord"))
     top = (old.agg(F.max("walk_ord")).first()[0] or 0) + 1
     puts = last.filter("op = 'put' and content is not null").join(old, "path", "left").withColumn("walk_ord", F.coalesce("walk_ord", F.lit(top) + F.col("seq")))
@@ -98,14 +111,26 @@ def empty(spark: SparkSession) -> G.Graph:
     return G.Graph(spark.createDataFrame([], NODES), spark.createDataFrame([], EDGES))
 
 
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id by which Spark knows the stream of a checkpoint, whatever was in its place before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}/metadata")
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+    try:
+        return json.loads(bytes(stream.readAllBytes()).decode())["id"]
+    finally:
+        stream.close()
+
+
 def follow(changes: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
     """Apply a stream of changes to a store, all that is there now, in order of the batches."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        n = store.current()
-        if n is not None and number < n:
-            return  # snapshot k + 1 holds batch k
-        g = empty(rows.sparkSession) if n is None else store.read()
-        store.publish(applied(g, rows))
+        spark, state = rows.sparkSession, store.state()
+        stream = stream_id(spark, checkpoint)
+        if state is not None and state.batches.get(stream, -1) >= number:
+            return  # published before the stream could note it
+        with scope():
+            g = empty(spark) if state is None else store.read()
+            store.publish(applied(g, rows), (stream, number))
 
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,9 +1,11 @@
 import json
+import random
 
 import pytest
 
+from linkloom import runtime
 from linkloom.cli import run
-from linkloom.sources.store import Store
+from linkloom.sources.store import Conflict, Store
 from linkloom.streaming import feed
 
 
@@ -52,3 +54,77 @@ def test_moves_in_one_batch(spark, caplog):
     g = feed.applied(feed._cut(g), rows((4, "move", "B.md", "C.md"), (5, "move", "A.md", "B.md"), (6, "move", "D.md", "C.md")))
     assert {r.path: r.mtime for r in feed.stage(g.nodes, "nodes").collect()} == {"B.md": 1, "C.md": 2, "D.md": 3}
     assert "1 moves can't be made: D.md -> C.md" in caplog.text
+
+
+def rows_of(spark, *r):
+    return spark.createDataFrame([(*x, *[None] * (6 - len(x))) for x in r], feed.CHANGES)
+
+
+def shown(g):
+    return sorted(r.node_key for r in g.nodes.collect()), sorted((r.src_key, r.dst_key, r.raw_link) for r in g.edges.collect())
+
+
+def test_links_within_a_moved_note_follow(spark):
+    g = feed.applied(feed.empty(spark), rows_of(spark, (1, "put", "d/A.md", None, "[[./B]] [x](../C.md#h) [[D]]", 1), (2, "put", "d/B.md", None, "", 1), (3, "put", "C.md", None, "", 1), (4, "put", "D.md", None, "", 1)))
+    g = feed.applied(feed._cut(g), rows_of(spark, (5, "move", "d/A.md", "e/f/A.md")))
+    assert shown(g)[1] == [("note:path:e/f/A.md", "note:path:C.md", "[x](../../C.md#h)"), ("note:path:e/f/A.md", "note:path:D.md", "[[D]]"), ("note:path:e/f/A.md", "note:path:d/B.md", "[[../../d/B]]")]
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_one_batch_or_many(spark, seed):
+    """The changes of a batch give the graph that they give one by one."""
+    rng = random.Random(seed)
+    paths = ["A.md", "d/B.md", "C.md", "e/D.md"]
+    rows = [(i + 1, "put", p, None, " ".join(f"[[{n}]]" for n in rng.sample(["A", "B", "C", "D", "X"], 2)), i) for i, p in enumerate(paths[:3])]
+    for i in range(4, 8):
+        a, b = rng.sample(paths, 2)
+        rows.append(rng.choice([(i, "put", a, None, f"[[{rng.choice('ABCDX')}]]", i), (i, "move", a, b), (i, "delete", a)]))
+    many = feed.empty(spark)
+    for r in rows:
+        many = feed._cut(feed.applied(many, rows_of(spark, r)))
+    assert shown(feed.applied(feed.empty(spark), rows_of(spark, *rows))) == shown(many)
+
+
+def test_a_batch_counts_once_whatever_else_is_published(spark, tmp_path, monkeypatch):
+    store = Store(spark, f"file://{tmp_path}/store")
+    store.publish(feed.applied(feed.empty(spark), rows_of(spark, (1, "put", "A.md", None, "", 1))))  # a store that a build has published to
+    log = tmp_path / "log"
+
+    def push(*rows):
+        rows_of(spark, *rows).coalesce(1).write.mode("append").parquet(str(log))
+        q = feed.follow(spark.readStream.schema(feed.CHANGES).parquet(str(log)), store, f"{tmp_path}/cp")
+        q.awaitTermination()
+
+    staged = set(runtime._STAGED)
+    push((2, "put", "Z.md", None, "[[A]]", 1))
+    assert {r.path for r in store.read().nodes.collect()} == {"A.md", "Z.md"}
+    real = Store.publish
+
+    def dies(self, g, batch=None):
+        real(self, g, batch)
+        raise RuntimeError("power cut")
+
+    with monkeypatch.context() as m:  # death between the publish and the stream's own note of the batch
+        m.setattr(Store, "publish", dies)
+        with pytest.raises(Exception):
+            push((3, "move", "Z.md", "Y.md"))
+    n = store.current()
+    push((4, "put", "Z.md", None, "", 1))
+    assert {r.path for r in store.read().nodes.collect()} == {"A.md", "Y.md", "Z.md"} and store.current() == n + 1
+    assert set(runtime._STAGED) == staged  # what the batches staged is gone
+
+
+def test_two_writers(spark, tmp_path, monkeypatch):
+    store = Store(spark, f"file://{tmp_path}/store")
+    g = store.publish(feed.applied(feed.empty(spark), rows_of(spark, (1, "put", "A.md", None, "", 1))))
+    real, other = Store._lock, Store(spark, f"file://{tmp_path}/store")
+
+    def late(self):
+        monkeypatch.setattr(Store, "_lock", real)
+        other.publish(g)  # while the first writes its tables
+        real(self)
+
+    monkeypatch.setattr(Store, "_lock", late)
+    with pytest.raises(Conflict):
+        store.publish(g)
+    assert store.current() == 2 and g.nodes.count() == 1  # readers keep what they began with

@@ -4,6 +4,7 @@ import collections
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from linkloom.operators import hotkeys as H
 from linkloom.operators import incremental as I
@@ -75,27 +76,97 @@ def test_pending_files(spark):
     assert I.pending_files(nodes.limit(0), runs, log.limit(0)).count() == 0
 
 
-def test_journal_survives_a_crash(spark, tmp_path):
-    j = I.Journal(spark, f"file://{tmp_path}/j")
-    seen = []
-
-    def work(df, run):
-        seen.extend(sorted((r.path, r.mtime) for r in df.collect()))
-
-    def dies(df, run):
-        work(df, run)
-        raise RuntimeError("power cut")
-
-    rows = lambda *p: spark.createDataFrame(list(p), "path string, mtime long, key string")
-    j.run(rows(("a", 1, "x"), ("b", 1, "x")), "path", "mtime", work)
-    with pytest.raises(RuntimeError):
-        j.run(rows(("a", 2, "x"), ("b", 1, "x")), "path", "mtime", dies)
-    assert seen == [("a", 1), ("b", 1), ("a", 2)]
-    seen.clear()
-    j.run(rows(("a", 2, "x"), ("b", 1, "x"), ("c", 1, "x")), "path", "mtime", work)  # what the dead run had comes again
-    assert seen == [("a", 2), ("c", 1)]
-    seen.clear()
-    j.run(rows(("a", 2, "x"), ("c", 1, "x")), "path", "mtime", work)
-    assert seen == []
-    j.run(rows(("a", 1, "x")), "path", "mtime", work)  # a version that went back is a change too
-    assert seen == [("a", 1)]
+class Jobs:
+    """Output in one folder a run, as a job would overwrite it, and a death at a chosen step."""
+
+    def __init__(self, spark, tmp_path):
+        self.journal = I.Journal(spark, f"file://{tmp_path}/j")
+        self.spark, self.out, self.handed, self.dies = spark, {}, [], ""
+
+    def rows(self, *p):
+        return self.spark.createDataFrame(list(p), "path string, mtime long, key string")
+
+    def work(self, df, run):
+        if self.dies == "before":
+            raise RuntimeError("power cut")
+        self.handed.append(run)
+        self.out[run] = sorted(((r.path, r.mtime) for r in df.collect()), key=str)
+        if self.dies == "after":
+            raise RuntimeError("power cut")
+
+    def run(self, *rows, **kw):
+        self.journal.run(self.rows(*rows), "path", "mtime", self.work, **kw)
+
+    def committed(self):
+        return sorted((x for run in self.journal.committed() for x in self.out.get(run, [])), key=str), key=str)
+
+
+@pytest.mark.parametrize("step", ["todo", "before", "after", "ledger", "ok"])
+def test_journal_survives_a_crash(spark, tmp_path, monkeypatch, step):
+    j = Jobs(spark, tmp_path)
+    j.run(("a", 1, "x"), ("b", 1, "x"))
+    real_create = I.Journal._create
+    with monkeypatch.context() as m:
+        j.dies = step
+        if step == "todo":
+            m.setattr(I.Journal, "_finish", lambda *a: (_ for _ in ()).throw(RuntimeError("power cut")))
+        if step == "ledger":
+            real_lit = F.lit
+            m.setattr(I.F, "lit", lambda x: (_ for _ in ()).throw(RuntimeError("power cut")) if isinstance(x, str) and x == "00000002" else real_lit(x))
+        if step == "ok":
+            m.setattr(I.Journal, "_create", lambda self, name, body: (_ for _ in ()).throw(RuntimeError("power cut")) if name.endswith(".ok") else real_create(self, name, body))
+        with pytest.raises(RuntimeError):
+            j.run(("a", 2, "x"), ("b", 1, "x"))
+    j.dies = ""
+    j.run(("a", 2, "x"), ("b", 1, "x"), ("c", 1, "x"))
+    assert j.committed() == [("a", 1), ("a", 2), ("b", 1), ("c", 1)]  # nothing twice, nothing left out
+    j.run(("a", 2, "x"), ("c", 1, "x"))
+    assert j.out[j.journal.committed()[-1]] == []
+    j.run(("a", 1, "x"))  # a version that went back is a change too
+    assert j.out[j.journal.committed()[-1]] == [("a", 1)]
+
+
+def test_journal_takes_one_run_at_a_time(spark, tmp_path, monkeypatch):
+    j = Jobs(spark, tmp_path)
+
+    def nested(df, run):
+        with pytest.raises(I.Busy):
+            j.run(("z", 1, "x"))
+        j.work(df, run)
+
+    j.journal.run(j.rows(("a", 1, "x"), (None, 1, "x"), ("n", None, "x")), "path", "mtime", nested)
+    assert len(j.handed) == 1
+    # a run whose lease was taken can't commit, and the one that took it has its records
+    monkeypatch.setattr(I.Journal, "LEASE_SECONDS", 0)
+
+    def slow(df, run):
+        import time
+
+        j.work(df, run)
+        time.sleep(1.1)
+        j.run(("b", 1, "x"))
+
+    with pytest.raises(Exception):  # what it was given is gone
+        j.journal.run(j.rows(("b", 1, "x")), "path", "mtime", slow)
+    monkeypatch.undo()
+    j.run(("b", 1, "x"))
+    assert j.out[j.journal.committed()[-1]] == []
+    assert [x for x in j.committed() if x[0] == "b"] == [("b", 1)]
+
+
+def test_journal_settles_and_rereads(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(I.Journal, "SETTLE_RUNS", 2)
+    j = Jobs(spark, tmp_path)
+    for k in range(5):
+        j.run(("a", k, "x"), ("b", 0, "x"), ("b", 1, "x"))  # two versions of a key in one run are both processed
+    assert j.committed() == [*(("a", k) for k in range(5)), ("b", 0), ("b", 1)]
+    assert len(j.journal._names("ledger")) <= 4 and len(j.journal._names("settled")) <= 2
+    runs = spark.createDataFrame([(1, ts(1), ts(2)), (2, ts(3), None), (3, ts(5), ts(6))], "run_id long, started_at timestamp, finished_at timestamp")
+    rows = spark.createDataFrame([("p", 1, ts(1)), ("q", 1, ts(4)), ("r", 1, None)], "path string, mtime long, at timestamp")
+    other = I.Journal(spark, f"file://{tmp_path}/k")
+    got = []
+    take = lambda df, run: got.append(sorted(r.path for r in df.collect()))
+    other.run(rows.limit(0), "path", "mtime", take, "at", runs)
+    other.run(rows, "path", "mtime", take, "at", runs)  # only from the oldest transaction that was open at the run before
+    other.run(rows, "path", "mtime", take, "at", runs, full=True)
+    assert got == [[], ["q", "r"], ["p"]]
