@@ -131,23 +131,21 @@ def refreshed(g: Graph, notes: DataFrame, universe: DataFrame, check: bool = Tru
     return Graph(nodes, kept.unionByName(edge_rows(res)))
 
 
-def promoted(g: Graph, added: DataFrame) -> tuple[Graph, DataFrame]:
-    """Phantoms that ``added`` (path, ord) now have a file for give way to it; and (path, phantom) of these files.
+def promoted(g: Graph, added: DataFrame, assets: bool = False) -> tuple[Graph, DataFrame]:
+    """Phantoms that ``added`` (path, ord), notes or ``assets``, now have a file for give way to it; and (path, phantom) of these files.
 
     Of files that share a name the one at the root takes over, else the first. All links to the phantom move to it.
     """
-    name = note_name(F.col("path"))
+    name, key = (file_name(F.col("path")), asset_key(F.col("path"))) if assets else (note_name(F.col("path")), note_key(F.col("path")))
     order = F.struct((~F.col("path").contains("/")).cast("int").alias("root"), (-F.col("ord")).alias("o"))
     best = added.groupBy(phantom_key(name).alias("dst_key")).agg(F.max_by("path", order).alias("path"))
     known = g.nodes.filter("type = 'phantom'").select(F.col("node_key").alias("dst_key"))
-    change = best.join(known, "dst_key", "left_semi").select("dst_key", "path", note_key(F.col("path")).alias("new_key"))
+    change = best.join(known, "dst_key", "left_semi").select("dst_key", "path", key.alias("new_key"))
     edges = g.edges.join(change.select("dst_key", "new_key"), "dst_key", "left").withColumn("dst_key", F.coalesce("new_key", "dst_key")).select(EDGE_COLUMNS)
     nodes = g.nodes.join(change.select(F.col("dst_key").alias("node_key")), "node_key", "left_anti").select(NODE_COLUMNS)
     return Graph(nodes, edges), change.select("path", F.col("dst_key").alias("phantom"))
 
 
-
-
 def relinked(g: Graph, plan: DataFrame) -> Graph:
     """The graph with raw links as a plan of rewrites has them; the plan's ``file`` and ``occ_ord`` name an edge."""
     new = plan.select(note_key(F.col("file")).alias("src_key"), "occ_ord", "new_link").dropDuplicates(["src_key", "occ_ord"])

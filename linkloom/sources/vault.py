@@ -235,7 +235,10 @@ class Vault:
             if ords:
                 fresh = FS.read_notes(self.spark, self.root, list(ords)).drop("walk_ord").join(self.spark.createDataFrame(list(ords.items()), "path string, walk_ord long"), "path")
                 g = G.refreshed(g, fresh, g.notes(), check=False)
-            g, _ = G.promoted(g, self.spark.createDataFrame([(b, i) for i, (a, b) in enumerate(pairs) if known[a].type == "note"], "path string, ord long"))
+            for kind in ("note", "asset"):
+                went = [(b, i) for i, (a, b) in enumerate(pairs) if known[a].type == kind]
+                if went:
+                    g, _ = G.promoted(g, self.spark.createDataFrame(went, "path string, ord long"), kind == "asset")
             stay = sorted({r["file"] for r in done})
             self.store.publish(G.without_orphans(self._with_mtimes(g, stay)))
         except Exception:

@@ -97,7 +97,8 @@ def _applied(g: G.Graph, changes: DataFrame) -> G.Graph:
     puts = last.filter("op = 'put' and content is not null").join(old, "path", "left").withColumn("walk_ord", F.coalesce("walk_ord", F.lit(top) + F.col("seq")))
     puts = stage(puts.select("path", "content", "mtime", "walk_ord"), "puts")
     gone = last.filter("op = 'delete'").select("path", F.col("seq").alias("pos"))
-    fresh = puts.join(old.select("path"), "path", "left_anti").select("path", F.col("walk_ord").alias("ord"))
+    went = moved.filter(F.lower("to_path").endswith(".md")).join(old.select(F.col("path").alias("to_path"), F.col("walk_ord").alias("ord")), "to_path").select(F.col("to_path").alias("path"), "ord")
+    fresh = puts.join(old.select("path"), "path", "left_anti").select("path", F.col("walk_ord").alias("ord")).unionByName(went)
     universe = old.join(gone.select("path"), "path", "left_anti").unionByName(puts.select("path", "walk_ord").join(old.select("path"), "path", "left_anti"))
     g = _cut(G.refreshed(g, puts, stage(universe, "universe"), check=False))
     g = _cut(G.promoted(g, fresh)[0])

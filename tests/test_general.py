@@ -98,7 +98,7 @@ class Jobs:
         self.journal.run(self.rows(*rows), "path", "mtime", self.work, **kw)
 
     def committed(self):
-        return sorted((x for run in self.journal.committed() for x in self.out.get(run, [])), key=str), key=str)
+        return sorted((x for run in self.journal.committed() for x in self.out.get(run, [])), key=str)
 
 
 @pytest.mark.parametrize("step", ["todo", "before", "after", "ledger", "ok"])
