@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from linkloom.functions.paths import file_name, note_name
 from linkloom.operators.extract import occurrences
 from linkloom.operators.resolve import asset_key, link_errors, note_key, phantom_key, resolved
+from linkloom.runtime import stage
 from linkloom.schema import EDGE_COLUMNS, NODE_COLUMNS
 
 _ASSETS, _REST = 1 << 40, 1 << 41
@@ -67,9 +68,10 @@ def build(notes: DataFrame, assets: DataFrame, check: bool = True) -> Graph:
     """The graph of ``notes`` (path, content, mtime, walk_ord) and ``assets`` (path, mtime, walk_ord).
 
     Raises :class:`LinkError` for the first few bad links, before anything is written; ``check=False`` takes links that
-    escape or are ambiguous as phantoms instead.
+    escape or are ambiguous as phantoms instead. Notes are read once, so that nodes and edges are of one state.
     """
-    res = resolved(occurrences(notes), notes, assets)
+    notes = stage(notes, "notes")
+    res = stage(resolved(occurrences(notes), notes, assets), "resolved")
     if check and (errors := link_errors(res)):
         raise LinkError(format_errors(errors))
     nodes = note_nodes(notes).unionByName(asset_nodes(assets)).unionByName(named_nodes(res))
@@ -123,7 +125,8 @@ def removed(g: Graph, gone: DataFrame) -> tuple[Graph, DataFrame]:
 
 def refreshed(g: Graph, notes: DataFrame, universe: DataFrame, check: bool = True) -> Graph:
     """The graph with ``notes`` (path, content, mtime, walk_ord) extracted and resolved anew among the notes ``universe`` (path, walk_ord)."""
-    res = resolved(occurrences(notes), universe, g.assets())
+    notes = stage(notes, "notes")
+    res = stage(resolved(occurrences(notes), universe, g.assets()), "resolved")
     if check and (errors := link_errors(res, 1)):
         raise LinkError(errors[0])
     nodes = upserted(upserted(g.nodes, note_nodes(notes), replace=True), named_nodes(res), replace=False)

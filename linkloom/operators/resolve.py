@@ -100,7 +100,11 @@ def resolved(occ: DataFrame, notes: DataFrame, assets: DataFrame) -> DataFrame:
     return looked.select(*occ.columns, "spelled", "escaping", F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"), note_key(col("src_path")).alias("src_key"), dst.alias("dst_key"))
 
 
+def first_errors(resolved_: DataFrame, most: int = MOST_ERRORS) -> DataFrame:
+    """The first mistakes in walk order: links out of the vault, and ambiguous names."""
+    return resolved_.filter(F.col("escaping") | F.col("ambiguous")).orderBy("walk_ord", "occ_ord", "src_path", "raw_link").limit(most)
+
+
 def link_errors(resolved_: DataFrame, most: int = MOST_ERRORS) -> list[str]:
-    """The first mistakes in walk order: links out of the vault, then ambiguous names."""
-    bad = resolved_.filter(F.col("escaping") | F.col("ambiguous")).orderBy("walk_ord", "occ_ord").limit(most)
+    bad = first_errors(resolved_, most)
     return [f"link escapes vault: {r.raw_link} in {r.src_path}" if r.escaping else f"ambiguous link: {r.target} in {r.src_path}" for r in bad.collect()]

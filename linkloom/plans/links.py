@@ -91,9 +91,14 @@ def twohop_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src_key, dst_key) of all links of the order notes, extracted from their text and resolved."""
+    return _order_links(spark, sf_dir, extract.KINDS)
+
+
+def _order_links(spark: SparkSession, sf_dir: str, kinds: frozenset[str]) -> DataFrame:
     notes = projection.order_notes(spark, sf_dir)
-    universe = notes.unionByName(projection.other_notes(spark, sf_dir)).select("path", "walk_ord")
-    return resolve.resolved(extract.occurrences(notes), universe, projection.no_assets(spark)).select("src_key", "dst_key")
+    orders = table(spark, sf_dir, "orders").select(F.format_string("orders/%d.md", "o_orderkey").alias("path"), F.col("o_orderkey").alias("walk_ord"))
+    universe = orders.unionByName(projection.other_notes(spark, sf_dir).select("path", "walk_ord"))
+    return resolve.resolved(extract.occurrences(notes, kinds=kinds), universe, projection.no_assets(spark)).select("src_key", "dst_key")
 
 
 def projected_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +110,7 @@ def projected_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def twohop_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every order and part of it, the first ten other orders with that part: text to links to two hops."""
-    links = order_links(spark, sf_dir).filter(F.col("dst_key").startswith("note:path:parts/"))
+    links = _order_links(spark, sf_dir, extract.LINKS).filter(F.col("dst_key").startswith("note:path:parts/"))
     number = lambda c: F.regexp_extract(c, r"(\d+)\.md\z", 1).cast("long")
     pairs = links.select(number("src_key").alias("src"), number("dst_key").alias("dst")).distinct()
     return query.two_hop_all(stage(pairs, "order-parts"))  # both sides of the join start from it
@@ -125,7 +130,7 @@ def exclude_vias(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _doc_links(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    occ = extract.occurrences(_doc_notes(spark, sf_dir)).filter(F.col("link_type") == kind)
+    occ = extract.occurrences(_doc_notes(spark, sf_dir), kinds=frozenset({kind}))
     return occ.select(F.col("src_path").cast("long").alias("doc_id"), F.col("line_start").cast("long").alias("line"), "raw_link", "target", "subpath")
 
 
@@ -152,7 +157,7 @@ def head_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snippet_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text around every wikilink of the documents, one line before and after."""
     notes = _doc_notes(spark, sf_dir)
-    occ = extract.occurrences(notes).filter("link_type = 'wikilink'").select(F.col("target").alias("dst_key"), F.col("src_path").alias("source"), "line_start", "line_end", "occ_ord")
+    occ = extract.occurrences(notes, kinds=frozenset({"wikilink"})).select(F.col("target").alias("dst_key"), F.col("src_path").alias("source"), "line_start", "line_end", "occ_ord")
     return query.snippets(occ, notes, 1).select(F.col("source").cast("long").alias("doc_id"), F.col("dst_key").alias("target"), "line_start", "line_end", F.array_join("lines", "\n").alias("lines"))
 
 
@@ -164,8 +169,8 @@ def resolve_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ambiguous_links_first5(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes, assets = _files(graph_of(spark, sf_dir))
-    bad = resolve.resolved(_occ(spark, sf_dir), notes, assets).filter("ambiguous or escaping")
-    return bad.select("src_path", "raw_link", "walk_ord", "occ_ord").distinct().orderBy("walk_ord", "occ_ord", "src_path", "raw_link").limit(5)
+    found = resolve.resolved(_occ(spark, sf_dir), notes, assets).select("src_path", "raw_link", "walk_ord", "occ_ord", "target", "escaping", "ambiguous").distinct()
+    return resolve.first_errors(found).select("src_path", "raw_link", "walk_ord", "occ_ord")
 
 
 def root_priority(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from linkloom.functions.paths import note_name_key
 from linkloom.operators import graph as G
 from linkloom.operators import query as Q
 from linkloom.operators import rewrite as R
-from linkloom.operators.extract import occurrences
+from linkloom.operators.extract import LINKS, occurrences
 from linkloom.runtime import stage
 from linkloom.sources import files as FS
 from linkloom.sources.store import Store
@@ -274,19 +274,19 @@ class Vault:
 
     def convert(self, to: str, paths: list[str] = (), dry_run: bool = False) -> dict:
         names, _ = self._listed()
-        occ = occurrences(self._notes(names), for_conversion=to == "wikilink")
+        occ = occurrences(self._notes(names), for_conversion=to == "wikilink", kinds=LINKS)
         plan = R.convert_plan(occ, self._frames(names, [])[0], to, self._scope(names, list(paths)))
         return {"rewritten": self._finish(plan, dry_run)}
 
     def simplify(self, paths: list[str] = (), dry_run: bool = False) -> dict:
         names, others = self._listed()
-        plan, skipped = R.simplify_plan(occurrences(self._notes(names)), *self._frames(names, others), self._scope(names, list(paths)))
+        plan, skipped = R.simplify_plan(occurrences(self._notes(names), kinds=LINKS), *self._frames(names, others), self._scope(names, list(paths)))
         skipped = self._skipped(skipped)
         return {"rewritten": self._finish(plan, dry_run), "skipped": skipped}
 
     def repair(self, dry_run: bool = False) -> dict:
         names, _ = self._listed()
-        plan, skipped = R.repair_plan(occurrences(self._notes(names)), self._frames(names, [])[0], self._paths(FS.everything(self.root)))
+        plan, skipped = R.repair_plan(occurrences(self._notes(names), kinds=LINKS), self._frames(names, [])[0], self._paths(FS.everything(self.root)))
         skipped = self._skipped(skipped)
         return {"rewritten": self._finish(plan, dry_run), "skipped": skipped}
 
@@ -297,7 +297,7 @@ class Vault:
             notes = self._frames(names, [])[0]
             cands = [r.path for r in notes.filter(note_name_key(F.col("path")) == key).orderBy("path").collect()]
             to = R.disambiguate_target(cands, name, target and _clean(target))
-            return {"rewritten": self._finish(R.disambiguate_scan_plan(occurrences(self._notes(names)), notes, key, to, self._scope(names, list(paths))), False)}
+            return {"rewritten": self._finish(R.disambiguate_scan_plan(occurrences(self._notes(names), kinds=LINKS), notes, key, to, self._scope(names, list(paths))), False)}
         g = self.store.read()
         cands = [r.path for r in g.notes().filter(note_name_key(F.col("path")) == key).orderBy("path").collect()]
         to = R.disambiguate_target(cands, name, target and _clean(target))
