@@ -14,10 +14,10 @@ from linkloom.operators.hotkeys import distinct_edges
 from linkloom.operators.incremental import latest_rows
 from linkloom.runtime import partitions, stage, table
 
-#: A group is heavy if it has more rows than this and more than 1/MOST_HEAVY of all rows.
+#: A group is heavy if it has more rows than this, at every size of the input.
 HEAVY_ROWS = 20_000
-#: So there are never more heavy groups than this, which bounds the one thing that is broadcast (16 bytes each).
-MOST_HEAVY = 4096
+#: Up to this many heavy groups their list is broadcast (16 bytes each); a longer one is left to the planner's size check.
+MOST_HEAVY = 100_000
 
 
 def top_n_per_group(items: DataFrame, group: str, order: list[Column], n: int, spread: str, heavy_rows: int = HEAVY_ROWS, rank: str = "pos") -> DataFrame:
@@ -30,11 +30,9 @@ def top_n_per_group(items: DataFrame, group: str, order: list[Column], n: int, s
     """
     spark = items.sparkSession
     items = items.filter(F.col(group).isNotNull())
-    total = items.count()
-    bound = max(heavy_rows, total // MOST_HEAVY)
     g, salts, salt = F.col(group), "__salts", "__salt"
-    heavy = items.groupBy(group).count().filter(F.col("count") > bound).select(group, F.ceil(F.col("count") / F.lit(heavy_rows)).cast("long").alias(salts))
-    split = items.join(F.broadcast(heavy), group, "left")
+    heavy = stage(items.groupBy(group).count().filter(F.col("count") > heavy_rows).select(group, F.ceil(F.col("count") / F.lit(heavy_rows)).cast("long").alias(salts)), "heavy-groups")
+    split = items.join(F.broadcast(heavy) if heavy.limit(MOST_HEAVY + 1).count() <= MOST_HEAVY else heavy, group, "left")
     cut = F.row_number().over(Window.partitionBy(group).orderBy(*order))
     light = split.filter(F.col(salts).isNull()).drop(salts).withColumn(rank, cut).filter(F.col(rank) <= n)
     inner = F.row_number().over(Window.partitionBy(group, salt).orderBy(*order))
