@@ -20,6 +20,8 @@ from linkloom.operators.arrays import column, flat, list_array, mixed
 from linkloom.runtime import partitions, ship, stage, table
 
 MAX_ITEMS = 100
+#: Parts into which the pairs of one item are split when its count is joined to them.
+SALTS = 8
 RECORD_BLOCK = 1 << 18  # elements of the incidence matrix in a block of records
 PENDING = 1 << 21  # summed entries of a pair of item blocks that are held before they are compacted
 
@@ -151,9 +153,12 @@ def pair_counts(rows: DataFrame, basket: str, item: str, max_items: int = MAX_IT
     g = stage(gram(rows, basket, item, max_items, least), "gram")
     n = g.filter("a is null").agg(F.sum("n")).first()[0] or 0
     alone = g.filter("a = b").select(F.col("a").alias("id"), F.col("n").alias("alone"))
-    left = alone.select(F.col("id").alias("a"), F.col("alone").alias("n_a"))
-    right = alone.select(F.col("id").alias("b"), F.col("alone").alias("n_b"))
-    pairs = g.filter("a < b").join(left, "a").join(right, "b")
+    # an item that goes with very many others has its pairs split by these
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    left = alone.select(F.col("id").alias("a"), F.col("alone").alias("n_a"), every.alias("salt_a"))
+    right = alone.select(F.col("id").alias("b"), F.col("alone").alias("n_b"), every.alias("salt_b"))
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
+    pairs = g.filter("a < b").withColumn("salt_a", salt("b")).withColumn("salt_b", salt("a")).join(left, ["a", "salt_a"]).join(right, ["b", "salt_b"])
     return pairs.select(F.col("a").alias("a_id"), F.col("b").alias("b_id"), F.col("n").alias("n_ab"), "n_a", "n_b", F.lit(n).cast("long").alias("n_baskets"))
 
 
