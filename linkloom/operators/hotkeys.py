@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from linkloom.operators.arrays import chunks, column, flat, list_array, mixed
 from linkloom.runtime import partitions, ship
 
-#: Rows that a split encodes at once, and entries that a block may hold before it is compacted.
+#: Rows that a split encodes at once, and entries that a block may hold before it is compacted (or twice what was left then).
 CHUNK_ROWS = 1 << 20
 PENDING = 1 << 21
 
@@ -90,7 +90,7 @@ def dense_key_aggregate(rows: DataFrame, roles: dict[str, str], sums: list[str]
                 cut = [x[at : at + (1 << 16)] for x in done]
                 yield pa.RecordBatch.from_arrays([pa.array([names[role]] * len(cut[0])), *map(pa.array, cut)], names=["key_role", "key", "n", *[f"sum_{c}" for c in sums]])
 
-        now, held, n = None, [], 0
+        now, held, n, most = None, [], 0, PENDING
         for b in batches:
             roles_, blocks_ = b.column("role").to_numpy(), b.column("block").to_numpy()
             lists = [b.column(c) for c in ("terms", *[f"a{i}" for i in range(width)])]
@@ -98,13 +98,14 @@ def dense_key_aggregate(rows: DataFrame, roles: dict[str, str], sums: list[str]
                 at = (int(roles_[r]), int(blocks_[r]))
                 if at != now and held:
                     yield from rows_of(now[0], held)
-                    held, n = [], 0
+                    held, n, most = [], 0, PENDING
                 now = at
                 held.append([flat(x.slice(r, 1)) for x in lists])
                 n += len(held[-1][0])
-                if n > PENDING and len(held) > 1:
+                if n > most:
                     held = [compact(held)]
                     n = len(held[0][0])
+                    most = max(PENDING, 2 * n)  # so that the work stays in proportion to what comes in
         if held:
             yield from rows_of(now[0], held)
 
