@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from linkloom.functions.globs import Excludes
-from linkloom.functions.paths import lower, trim
+from linkloom.functions.paths import file_name, lower, note_name, trim
 from linkloom.operators.extract import content_lines, frontmatter_end
 from linkloom.operators.graph import Graph
 
 #: Limits that hold where none is given.
 MAX_BACKLINKS, MAX_VIAS, MAX_TARGETS = 100, 100, 10
+#: Files that the message of an ambiguous name lists.
+NAMED = 100
 _SHOWN = ["type", "name", "path", "exists_flag"]
 
 
@@ -54,14 +56,16 @@ def find_entry(g: Graph, entry: Entry) -> Row:
     tagged = (F.col("type") == "tag") & (lower(F.col("name")) == lower(F.concat(F.lit("#"), F.regexp_replace(key, r"\A#", ""))))
     ghost = (F.col("type") == "phantom") & (lower(F.col("name")) == lower(key))
     rank = F.when(F.col("type") == "note", 0).when(F.col("type") == "asset", 1).when(F.col("type") == "phantom", 2).otherwise(3)
-    rows = g.nodes.filter(same | tagged | ghost).withColumn("rank", rank).collect()  # all nodes of one name
-    for r in range(4):
-        level = [x for x in rows if x.rank == r]
-        root = [x for x in level if x.path and "/" not in x.path]
-        if len(level) == 1 or len(root) == 1:
-            return (root if len(level) > 1 else level)[0]
-        if level:
-            raise QueryError(f"ambiguous name: {value} ({', '.join(sorted(x.path or x.name for x in level))})")
+    rows = g.nodes.filter(same | tagged | ghost).withColumn("rank", rank)
+    best = rows.agg(F.min("rank")).first()[0]
+    if best is not None:
+        level = rows.filter(F.col("rank") == best).withColumn("root", F.coalesce(~F.col("path").contains("/"), F.lit(False)))
+        first = level.orderBy(F.col("root").desc(), F.coalesce("path", "name")).limit(NAMED + 1).collect()
+        root = [x for x in first if x.root]
+        if len(first) == 1 or len(root) == 1:
+            return (root if len(first) > 1 else first)[0]
+        shown = sorted(x.path or x.name for x in first[:NAMED]) + ["..."] * (len(first) > NAMED)
+        raise QueryError(f"ambiguous name: {value} ({', '.join(shown)})")
     raise QueryError(f"not found: {value}")
 
 
@@ -188,7 +192,7 @@ def phantoms(g: Graph) -> DataFrame:
 def resolve_link(g: Graph, source: str, link: str) -> Row:
     """What a link as written in ``source`` means: the target of the occurrence that reads so. Raises if there is none."""
     from linkloom.operators.extract import occurrences
-    from linkloom.operators.resolve import resolved
+    from linkloom.operators.resolve import probed, resolved
 
     spark = g.nodes.sparkSession
     if not g.nodes.filter(F.col("node_key") == f"note:path:{source}").limit(1).collect():
@@ -198,10 +202,17 @@ def resolve_link(g: Graph, source: str, link: str) -> Row:
     same = [r.occ_ord for r in occ.orderBy((F.col("raw_link") != link).cast("int"), "occ_ord").limit(1).collect()]
     if not same:
         raise QueryError(f"not a link: {link}")
-    hit = resolved(occ.filter(F.col("occ_ord") == same[0]), g.notes(), g.assets())
+    one = probed(occ.filter(F.col("occ_ord") == same[0]))
+    asked = one.select("space", "key").first()
+    # of the files only those matter that the name or path can stand for, of the edges those of the source
+    base = lower(file_name(F.col("path")))
+    last = (asked["key"] or "").rsplit("/", 1)[-1]
+    near = (base == last) | (base == f"{last}.md") | (lower(note_name(F.col("path"))) == last)
+    hit = resolved(one.select(occ.columns), g.notes().filter(near), g.assets().filter(near))
+    own = g.edges.filter(F.col("src_key") == f"note:path:{source}").select("src_key", "dst_key", F.coalesce("subpath", F.lit("")).alias("subpath"))
     found = (
         hit.select("src_key", "dst_key", "subpath")
-        .join(g.edges.select("src_key", "dst_key", F.coalesce("subpath", F.lit("")).alias("subpath")).distinct(), ["src_key", "dst_key", "subpath"])
+        .join(own.distinct(), ["src_key", "dst_key", "subpath"])
         .join(g.nodes, F.col("dst_key") == F.col("node_key"))
         .select(*_SHOWN, "subpath")
         .limit(1)

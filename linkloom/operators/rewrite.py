@@ -208,8 +208,9 @@ def moved_outgoing_plan(g: Graph, occ: DataFrame, moved: DataFrame, batch: bool)
     col = F.col
     mv = moved.select("from_path", "to_path")
     src = _links(occ).join(mv.select(col("from_path").alias("src_path"), col("to_path").alias("new_src")), "src_path")
-    # where a bare or path link led before the move
-    was = g.edges.join(g.nodes.filter("path is not null").select(col("node_key").alias("dst_key"), col("path").alias("was")), "dst_key")
+    # where a bare or path link led before the move; only the edges of what moves are looked at
+    own = g.edges.join(mv.select(F.concat(F.lit("note:path:"), "from_path").alias("src_key")), "src_key", "left_semi")
+    was = own.join(g.nodes.filter("path is not null").select(col("node_key").alias("dst_key"), col("path").alias("was")), "dst_key")
     was = was.select(F.regexp_replace("src_key", r"\Anote:path:", "").alias("src_path"), "raw_link", "was").groupBy("src_path", "raw_link").agg(F.min("was").alias("was"))
     where = src.filter("not is_relative and target <> ''").join(was, ["src_path", "raw_link"]).join(mv.select(col("from_path").alias("was"), col("to_path").alias("went")), "was", "left").withColumn("now", F.coalesce("went", "was"))
     names = _names_after(g.nodes, mv).filter("type = 'note'").select("key", "n", "one", "post_root")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions.globs import Excludes
-from linkloom.functions.paths import note_name_key
+from linkloom.functions.paths import file_name, folder, note_name_key
 from linkloom.operators import extract, query, resolve, rewrite
 from linkloom.operators import graph as G
 from linkloom.operators.incremental import latest_rows
@@ -53,7 +53,11 @@ def basename_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asset_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return query.conflicts(graph_of(spark, sf_dir), "asset")
+    """The assets as if all had one name beside their extension: which share a name."""
+    g = graph_of(spark, sf_dir)
+    path = F.concat(folder(F.col("path")), F.lit("/attachment"), F.regexp_extract("path", r"[.][^./]*\z", 0))
+    same = g.nodes.filter("type = 'asset'").withColumn("path", path).withColumn("name", file_name(F.col("path")))
+    return query.conflicts(G.Graph(same, g.edges), "asset")
 
 
 def phantoms_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,9 +221,9 @@ def movedir_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def moved_outgoing_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same folder moved one level down: how links in its own notes change."""
+    """All folders that sort before ``n`` moved one level down: how links in their own notes change."""
     g = graph_of(spark, sf_dir)
-    moved = g.nodes.filter(F.col("type").isin("note", "asset") & F.col("path").startswith("recipes/")).select(F.col("path").alias("from_path"), F.concat(F.lit("old/"), "path").alias("to_path"))
+    moved = g.nodes.filter(F.col("type").isin("note", "asset") & F.col("path").contains("/") & (F.col("path") < "n")).select(F.col("path").alias("from_path"), F.concat(F.lit("old/"), "path").alias("to_path"))
     return rewrite.moved_outgoing_plan(g, _occ(spark, sf_dir), moved, batch=True).select("file", "raw_link", "new_link", "occ_ord")
 
 
@@ -235,8 +239,18 @@ def repair_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewrite.repair_plan(_occ(spark, sf_dir), _files(graph_of(spark, sf_dir))[0])[0].select("file", "raw_link", "new_link", "occ_ord")
 
 
+def repair_on_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan when all files of the tables, assets too, are on disk: links to them are left alone."""
+    g = graph_of(spark, sf_dir)
+    return rewrite.repair_plan(_occ(spark, sf_dir), _files(g)[0], g.nodes.filter("path is not null").select("path"))[0].select("file", "raw_link", "new_link", "occ_ord")
+
+
 def repair_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rewrite.repair_plan(_occ(spark, sf_dir), _files(graph_of(spark, sf_dir))[0])[1]
+    """All links as paths into a folder that is gone: those whose name several notes have."""
+    link = F.col("link_type").isin("wikilink", "markdown") & (F.col("target") != "")
+    lost = table(spark, sf_dir, "occurrences").withColumn("target", F.when(link, F.concat(F.lit("gone/"), file_name(F.col("target")))).otherwise(F.col("target")))
+    lost = lost.withColumn("is_relative", F.lit(False)).withColumn("is_basename", F.lit(False)).distinct()
+    return rewrite.repair_plan(lost, _files(graph_of(spark, sf_dir))[0])[1]
 
 
 def convert_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,6 +272,6 @@ def disambiguate_hub(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NAMES = """stats_counts basename_conflicts asset_conflicts phantoms_list backlinks_of_hub outgoing_of_hub leaf_tags twohop_of_tag twohop_of_note
 twohop_all order_links projected_stats twohop_orders exclude_paths_nullsafe exclude_tags exclude_vias doc_wikilinks doc_markdown_links nested_tag_expansion
 frontmatter_tags head_lines snippet_lines resolve_priority ambiguous_links_first5 root_priority orphans_anti incoming_counts delete_phantomize
-add_promote_phantom add_rewrites movedir_rewrites moved_outgoing_rewrites simplify_plan simplify_skipped repair_plan repair_skipped convert_to_markdown
+add_promote_phantom add_rewrites movedir_rewrites moved_outgoing_rewrites simplify_plan simplify_skipped repair_plan repair_on_disk repair_skipped convert_to_markdown
 convert_to_wikilink disambiguate_hub""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}

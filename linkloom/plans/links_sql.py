@@ -148,6 +148,14 @@ x AS (SELECT doc_id, i, regexp_replace(regexp_replace(l, '(?s)\[.*?\]\(.*?\)', '
 y AS (SELECT doc_id, i, unnest(regexp_extract_all(l, '(?:^|[{_WS}])#([^{_NOT_TAG}\p{{Nd}}/][^{_NOT_TAG}]*)', 1)) t FROM x WHERE NOT ({_trim('l')} LIKE '# %' OR {_trim('l')} = '#')),
 z AS (SELECT doc_id, i, list_filter(string_split(regexp_replace(t, '/+$', ''), '/'), lambda p: p <> '') ps FROM y)
 SELECT doc_id, CAST(i AS BIGINT) AS line, unnest(list_transform(generate_series(1, len(ps)), lambda k: '#' || array_to_string(ps[1:k], '/'))) AS target FROM z"""
+_FRONT = rf"""WITH {_LINES},
+f AS (SELECT doc_id, i, regexp_replace(l, '\r$', '') l FROM ln WHERE fm > 0 AND i BETWEEN 2 AND fm),
+k AS (SELECT doc_id, i, trim(regexp_extract(l, '^tags:(.*)$', 1)) v FROM f WHERE regexp_matches(l, '^tags:( |$)')),
+one AS (SELECT doc_id, i, unnest(string_split(regexp_replace(v, '^\[|\]$', '', 'g'), ',')) t FROM k WHERE v <> ''),
+z AS (SELECT k.doc_id, k.i, min(f.i) AS stop FROM k LEFT JOIN f ON f.doc_id = k.doc_id AND f.i > k.i AND NOT regexp_matches(f.l, '^ *- ') WHERE k.v = '' GROUP BY ALL),
+many AS (SELECT f.doc_id, f.i, regexp_extract(f.l, '^ *- (.*)$', 1) t FROM f JOIN z ON f.doc_id = z.doc_id AND f.i > z.i AND f.i < coalesce(z.stop, 1 << 30)),
+b AS (SELECT doc_id, i, string_split(regexp_replace(regexp_replace(trim(t), '^[''"]|[''"]$', '', 'g'), '^#', ''), '/') ps FROM (FROM one UNION ALL FROM many) WHERE trim(t) <> '')
+SELECT doc_id, CAST(i AS BIGINT) AS line, unnest(list_transform(generate_series(1, len(ps)), lambda n: '#' || array_to_string(ps[1:n], '/'))) AS target FROM b"""
 _HEAD = rf"""WITH d AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '\r$', '')) ls FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
 d2 AS (SELECT doc_id, ls, CASE WHEN {_trim('ls[1]')} = '---' THEN coalesce(list_position(list_transform(ls[2:], lambda x: {_trim('x')}), '---'), 0) ELSE 0 END fm FROM d),
 ln AS (SELECT doc_id, fm, len(ls) z, unnest(ls) l, unnest(generate_series(1, len(ls))) i FROM d2),
@@ -176,6 +184,10 @@ _REPAIR = f"""{_PATHS},
 keys AS (SELECT lower(path) k FROM note UNION SELECT regexp_replace(lower(path), '\\.md$', '') FROM note),
 byname AS (SELECT lower({_no_md(_name('path'))}) bk, count(*) c, list_sort(list(path)) ps FROM note GROUP BY 1),
 t AS (SELECT q.*, {_name('target')} AS bn, byname.c AS cands, byname.ps FROM q LEFT JOIN keys ON keys.k = lower(way) LEFT JOIN byname ON bk = lower({_name('target')}) WHERE esc OR keys.k IS NULL)"""
+_LOST = _REPAIR.replace(
+    "o AS (SELECT DISTINCT * FROM occurrences)",
+    f"o AS (SELECT DISTINCT * REPLACE (CASE WHEN link_type IN ('wikilink', 'markdown') AND target <> '' THEN 'gone/' || {_name('target')} ELSE target END AS target, false AS is_relative, false AS is_basename) FROM occurrences)",
+)
 
 _MOVED = f"""mv AS (SELECT path, node_key, type, name, 'kitchen/' || substr(path, 9) AS dest FROM n WHERE type IN ('note', 'asset') AND path LIKE 'recipes/%'),
 af AS (SELECT n.node_key, n.type, n.path, coalesce(mv.dest, n.path) AS newp, mv.dest FROM n LEFT JOIN mv USING (node_key) WHERE n.exists_flag AND n.type IN ('note', 'asset')),
@@ -188,6 +200,31 @@ ac AS (SELECT {_note('path')} k, count(*) c FROM ad GROUP BY 1),
 hit AS (SELECT 'note:path:' || nn.one AS dst_key, nn.one FROM ac JOIN nn ON nn.k = ac.k WHERE nn.c = 1 AND contains(nn.one, '/'))"""
 
 
+def _moved_outgoing() -> str:
+    """The links within the notes of folders that sort before ``n``, which go below ``old``."""
+    aimed = f"CASE WHEN link_type = 'wikilink' THEN split_part({_before('raw_link')}, '#', 1) ELSE split_part({_url('raw_link')}, '#', 1) END"
+    up = "regexp_replace(repeat('../', len(a) - c) || array_to_string(b[c + 1:], '/'), '/$', '')"
+    kept = f"CASE WHEN lower(split_part({_url('raw_link')}, '#', 1)) LIKE '%.md' THEN CASE WHEN lower(way) LIKE '%.md' THEN way ELSE way || '.md' END ELSE regexp_replace(way, '[.]md$', '') END"
+    return f"""{_G}, {_OCC},
+mv AS (SELECT path AS p0, 'old/' || path AS p1 FROM n WHERE type IN ('note', 'asset') AND contains(path, '/') AND path < 'n'),
+af AS (SELECT coalesce(mv.p1, path) AS np FROM n LEFT JOIN mv ON p0 = path WHERE type = 'note' AND exists_flag),
+na AS (SELECT {_note('np')} k, count(*) c, max(np) one, max(CASE WHEN NOT contains(np, '/') THEN np END) root FROM af GROUP BY 1),
+was AS (SELECT mv.p0 AS sp, e.raw_link AS rl, min(t.path) AS was FROM e JOIN mv ON e.src_key = 'note:path:' || mv.p0 JOIN n t ON t.node_key = e.dst_key WHERE t.path IS NOT NULL GROUP BY 1, 2),
+s AS (SELECT l.* EXCLUDE (way), mv.p1 AS ns FROM l JOIN mv ON mv.p0 = l.src_path WHERE link_type IN ('wikilink', 'markdown')),
+wh AS (SELECT s.*, coalesce(g.p1, was) AS now, g.p1 AS went FROM s JOIN was ON sp = src_path AND rl = raw_link LEFT JOIN mv g ON g.p0 = was WHERE NOT is_relative AND target <> ''),
+r0 AS (SELECT *, {_clean(f"({_folder('src_path')}) || '/' || ({aimed})")} AS aim FROM s WHERE is_relative),
+r1 AS (SELECT r0.*, coalesce(m1.p1, regexp_replace(m2.p1, '[.]md$', ''), aim) AS to_ FROM r0 LEFT JOIN mv m1 ON m1.p0 = aim LEFT JOIN mv m2 ON m2.p0 LIKE '%.md' AND {_no_ext('m2.p0')} = aim),
+r2 AS (SELECT *, string_split({_folder('ns')}, '/') AS a, string_split(to_, '/') AS b FROM r1),
+r3 AS (SELECT *, len(list_filter(generate_series(1, least(len(a), len(b))), lambda i: a[1:i] = b[1:i])) AS c FROM r2),
+r4 AS (SELECT *, CASE WHEN len(a) > c THEN {up} ELSE './' || array_to_string(b[c + 1:], '/') END AS way FROM r3)
+SELECT file, raw_link, new_link, occ_ord FROM (
+SELECT src_path AS file, raw_link, {_pointed('raw_link', 'link_type', 'now')} AS new_link, occ_ord FROM wh JOIN na ON na.k = {_note('target')}
+  WHERE is_basename AND CASE WHEN c = 1 THEN one ELSE root END IS DISTINCT FROM now
+UNION ALL SELECT src_path, raw_link, {_pointed('raw_link', 'link_type', 'now')}, occ_ord FROM wh WHERE NOT is_basename AND went IS NOT NULL
+UNION ALL SELECT src_path, raw_link, CASE WHEN link_type = 'wikilink' THEN '[[' || regexp_replace(way, '[.]md$', '') || {_sub(_before('raw_link'))} || {_alias('raw_link')} || ']]'
+  ELSE split_part(raw_link, '](', 1) || '](' || {kept} || {_sub(_url('raw_link'))} || ')' END, occ_ord FROM r4) WHERE new_link <> raw_link"""
+
+
 def _convert_md() -> str:
     raw = "raw_link"
     alias = f"regexp_replace({_alias(raw)}, '^\\|', '')"
@@ -214,7 +251,8 @@ SQL = {
     "stats_counts": f"""{_G} SELECT count(*) FILTER (type = 'note') AS notes_total, count(*) FILTER (type = 'note' AND exists_flag) AS notes_exists, count(*) FILTER (type = 'tag') AS tags_total,
   count(*) FILTER (type = 'phantom') AS phantoms_total, count(*) FILTER (type = 'asset') AS assets_total, (SELECT count(*) FROM e) AS edges_total FROM n""",
     "basename_conflicts": _conflicts("note"),
-    "asset_conflicts": _conflicts("asset"),
+    "asset_conflicts": f"""{_G}, a AS (SELECT {_folder('path')} || '/attachment' || regexp_extract(path, '[.][^./]*$') AS path FROM n WHERE type = 'asset' AND exists_flag),
+f AS (SELECT {_name('path')} AS name, list_sort(list(path)) AS paths, count(*) c FROM a GROUP BY lower({_name('path')}), 1) SELECT min(name) AS name, list_sort(flatten(list(paths))) AS paths FROM f GROUP BY lower(name) HAVING sum(c) > 1""",
     "phantoms_list": f"{_G} SELECT name FROM n WHERE type = 'phantom'",
     "backlinks_of_hub": f"""{_G}, {_hub('dst_key', 'note:')} SELECT node_key, type, name, path, exists_flag FROM n WHERE node_key IN (SELECT src_key FROM e JOIN hub ON e.dst_key = hub.k)
   ORDER BY path NULLS FIRST, name LIMIT 100""",
@@ -244,6 +282,7 @@ SELECT entry, via, CAST(pos AS INTEGER) AS pos, target FROM p WHERE pos <= 10"""
     "doc_wikilinks": _WIKI,
     "doc_markdown_links": _MARK,
     "nested_tag_expansion": _TAGS,
+    "frontmatter_tags": _FRONT,
     "head_lines": _HEAD,
     "snippet_lines": _SNIP,
     "resolve_priority": f"{_R} SELECT src_path, occ_ord, raw_link, dst_key, ambiguous FROM r WHERE NOT esc",
@@ -263,10 +302,13 @@ SELECT * FROM (SELECT file, raw_link, {_pointed('raw_link', 'link_type', 'one')}
     "movedir_rewrites": f"""{_G}, {_LINKS}, {_MOVED}
 SELECT * FROM (SELECT file, raw_link, {_pointed('raw_link', 'link_type', 'coalesce(dest, path)')} AS new_link, occ_ord FROM x JOIN fin ON fin.node_key = x.dst_key
  WHERE file NOT IN (SELECT path FROM mv) AND CASE WHEN dest IS NOT NULL THEN NOT bare OR key <> old OR unsafe ELSE arrived AND unsafe AND bare END) WHERE new_link <> raw_link""",
+    "moved_outgoing_rewrites": _moved_outgoing(),
     "simplify_plan": f"""{_SIMPLE} SELECT * FROM (SELECT src_path AS file, raw_link, {_pointed('raw_link', 'link_type', _name('hit'))} AS new_link, occ_ord FROM s2 WHERE cnt = 1 OR root = hit) WHERE new_link <> raw_link""",
     "simplify_skipped": f"{_SIMPLE} {_SKIP}",
     "repair_plan": f"""{_REPAIR} SELECT * FROM (SELECT src_path AS file, raw_link, {_pointed('raw_link', 'link_type', "(bn || '.md')")} AS new_link, occ_ord FROM t WHERE esc OR coalesce(cands, 0) < 2) WHERE new_link <> raw_link""",
-    "repair_skipped": f"{_REPAIR} SELECT DISTINCT src_path AS file, raw_link, min(bn) AS basename, min(ps) AS candidates FROM t WHERE NOT esc AND cands >= 2 GROUP BY 1, 2",
+    "repair_on_disk": f"""{_REPAIR} SELECT * FROM (SELECT src_path AS file, raw_link, {_pointed('raw_link', 'link_type', "(bn || '.md')")} AS new_link, occ_ord FROM t
+ WHERE (esc OR coalesce(cands, 0) < 2) AND (esc OR way NOT IN (SELECT path FROM n WHERE path IS NOT NULL))) WHERE new_link <> raw_link""",
+    "repair_skipped": f"{_LOST} SELECT DISTINCT src_path AS file, raw_link, min(bn) AS basename, min(ps) AS candidates FROM t WHERE NOT esc AND cands >= 2 GROUP BY 1, 2",
     "convert_to_markdown": _convert_md(),
     "convert_to_wikilink": _convert_wiki(),
     "disambiguate_hub": f"""{_G}, {_LINKS}, {_hub('dst_key', 'note:')}, hp AS (SELECT k, substr(k, 11) AS path FROM hub)
