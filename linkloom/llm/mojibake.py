@@ -12,7 +12,8 @@
 4. Application. They are undone on every distinct word. A word counts as garbled if undoing gives much likelier text
    than it has now; likelihood is that of pairs of neighbouring characters. So that garbled text doesn't vouch for
    itself, words that could be garbled by the counts over the distinct texts are left out of the counts over all documents.
-   Characters that a learned way of reading makes of bytes it can't read count by themselves: there is nothing to undo.
+   Characters that a learned way of reading makes of bytes it can't read count by themselves: there is nothing to undo;
+   such a word is restored from a clean twin that a learned transformation turns into just it.
 5. The garbled words are joined back to the documents that hold them.
 """
 
@@ -629,7 +630,24 @@ def garbled_words(live: DataFrame) -> DataFrame:
             rows = [(w, *got[1:]) for w in b.column(0).to_pylist() if (got := u.judged(w))[0]]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.string())], names=["form", "sure", "new"])
 
-    return stage(words.select("form").mapInArrow(judge, "form string, sure boolean, new string"), "garbled")
+    judged = words.select("form").mapInArrow(judge, "form string, sure boolean, new string")
+    return stage(judged.join(from_twins(forms, ways), "form", "left").select("form", "sure", F.coalesce("clean", "new").alias("new")), "garbled")
+
+
+def from_twins(forms: DataFrame, ways: list[tuple[str, str]]) -> DataFrame:
+    """(form, clean) of the words that lost bytes, so that nothing can be undone, but whose clean twin becomes just them by a learned transformation."""
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = zip(b.column(0).to_pylist(), b.column(1).to_pylist())
+            rows = [(other, clean) for clean, other in pairs if any(garble(clean, w, r) == other for w, r in ways)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["form", "clean"])
+
+    words = forms.filter("form <> ''").filter(~F.col("form").contains(" ")).withColumn("bare", F.regexp_replace("form", r"[^\x00-\x7f]", ""))
+    words = words.filter(F.length(F.regexp_replace("bare", "[^0-9A-Za-z]", "")) >= LEAST_ASCII)
+    lost = F.col("form").contains(REPLACED)
+    whole = words.filter(~lost).groupBy("bare").agg(F.max_by("form", F.struct("texts", "form")).alias("clean"))
+    return words.filter(lost).select("bare", F.col("form").alias("other")).join(whole, "bare").select("clean", "other").mapInArrow(align, "form string, clean string")
 
 
 def _word_slot(word: str) -> int:

@@ -257,6 +257,14 @@ def test_stretches_count_documents_and_texts(spark):
     assert got[""][0] == 208 and got["ß"][0] == 200 and 100 < got["ß"][1] <= 200
 
 
+def test_lost_bytes_are_restored_from_twins(spark):
+    lost = M.garble("Schlüssel", "cp1252", "utf-8")
+    docs = [(i, f"Der Schlüssel liegt unter der Matte {i}, die größte Küche") for i in range(20)] + [(100 + i, f"Der {lost} {M.garble('Küchentür größte', 'cp1252', 'utf-8')} {i}") for i in range(3)]
+    docs += [(200 + i, "Küchentür größte") for i in range(4)]
+    got = {r.doc_id: r.text for r in M.repaired_texts(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {100 + i: f"Der Schlüssel Küchentür größte {i}" for i in range(3)}
+
+
 def test_bitmap_and_long_words(spark):
     words = spark.createDataFrame([(f"é{i}",) for i in range(300)], "form string")
     bits = M._bitmap(words)
