@@ -16,7 +16,7 @@ FIELDS = {
     "query": ["backlinks", "outgoing", "tags", "twohop", "head", "snippet"],
     "resolve": ["type", "name", "path", "exists", "subpath"],
     "stats": ["notes_total", "notes_exists", "edges_total", "tags_total", "phantoms_total", "assets_total"],
-    "diagnose": ["basename_conflicts", "asset_conflicts", "phantoms"],
+    "diagnose": ["basename_conflicts", "asset_basename_conflicts", "phantoms"],
 }
 
 
@@ -69,7 +69,7 @@ def parser() -> argparse.ArgumentParser:
 def run(spark: SparkSession, args: list[str]) -> str:
     a = parser().parse_args(args)
     form = render.check_format(a.format)
-    fields = render.parse_fields(getattr(a, "fields", None), FIELDS.get(a.command, []))
+    fields = render.parse_fields(getattr(a, "fields", None), FIELDS.get(a.command, []), a.command)
     v, name = Vault(spark, a.vault), a.command
     pick = lambda d: {k: x for k, x in d.items() if not fields or k in fields}
     if name == "build":

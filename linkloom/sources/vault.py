@@ -248,7 +248,7 @@ class Vault:
             raise
         FS.remove_empty_folders(self.root, [a for a, _ in pairs])
         out = {"rewritten": [*done, *more]}
-        return {"moved": [{"from": a, "to": b} for a, b in pairs], **out} if batch else out
+        return {"moved": [{"from": a, "to": b} for a, b in pairs], **out} if batch else {"from": pairs[0][0], "to": pairs[0][1], **out}
 
     # ---- rewrites of texts
 
@@ -369,5 +369,5 @@ class Vault:
     def diagnose(self) -> dict:
         g = self.store.read()
         show = lambda kind: [r.asDict() for r in Q.conflicts(g, kind).collect()]
-        return {"basename_conflicts": show("note"), "asset_conflicts": show("asset"), "phantoms": [r.name for r in Q.phantoms(g).collect()]}
+        return {"basename_conflicts": show("note"), "asset_basename_conflicts": show("asset"), "phantoms": [r.name for r in Q.phantoms(g).collect()]}
 

@@ -5,6 +5,7 @@ import pytest
 
 from linkloom import runtime
 from linkloom.cli import run
+from linkloom.sources import render
 from linkloom.sources.store import Conflict, Store
 from linkloom.streaming import feed
 
@@ -18,14 +19,26 @@ def test_cli(spark, tmp_path):
     assert run(spark, ["build", *at]) == ""
     assert json.loads(run(spark, ["stats", *at, "--format", "json", "--fields", "notes_total,edges_total"])) == {"notes_total": 2, "edges_total": 3}
     text = run(spark, ["query", *at, "--name", "B", "--fields", "backlinks"])
-    assert text == "entry: note: B.md\nbacklinks:\n- note: A.md"
-    assert json.loads(run(spark, ["diagnose", *at, "--format", "json"])) == {"basename_conflicts": [], "asset_conflicts": [], "phantoms": ["Gone"]}
+    assert text == "entry:\n  type: note\n  name: B\n  path: B.md\n  exists: true\nbacklinks:\n- type: note\n  name: A\n  path: A.md\n  exists: true"
+    text = run(spark, ["query", *at, "--phantom", "gone", "--fields", "twohop,snippet", "--include-snippet", "1"])
+    assert text == 'entry:\n  type: phantom\n  name: Gone\ntwohop:\n- via: note: A.md\n  targets:\n  - tag: #t\n  - note: B.md\nsnippet:\n- source: A.md\n  lines: 1-2\n  content:\n  - "[[B]] #t"\n  - "[[Gone]]"'
+    shown = json.loads(run(spark, ["query", *at, "--phantom", "gone", "--fields", "snippet", "--include-snippet", "1", "--format", "json"]))
+    assert shown == {"entry": {"type": "phantom", "name": "Gone"}, "snippet": [{"source": "A.md", "lines": "1-2", "content": ["[[B]] #t", "[[Gone]]"]}]}
+    assert json.loads(run(spark, ["diagnose", *at, "--format", "json"])) == {"basename_conflicts": [], "asset_basename_conflicts": [], "phantoms": ["Gone"]}
     assert json.loads(run(spark, ["repair", *at, "--format", "json", "--dry-run"])) == {"rewritten": [], "skipped": []}
     for bad in (["stats", *at, "--format", "xml"], ["stats", *at, "--fields", "nope"]):
         with pytest.raises(ValueError):
             run(spark, bad)
 
 
+def test_layout():
+    shown = {"rewritten": [{"file": "a.md", "old": "[[x]]", "new": '[["y"]]'}], "skipped": [], "moved": [{"from": "a", "to": "b"}], "paths": ["p", "q"]}
+    assert render.as_text(shown) == 'rewritten:\n- file: a.md\n  old: "[[x]]"\n  new: "[[\\"y\\"]]"\nmoved:\n- from: a\n  to: b\npaths:\n- p\n- q'
+    assert json.loads(render.as_json(shown, True)) == shown and "skipped" not in json.loads(render.as_json(shown, False))
+    with pytest.raises(ValueError, match="unknown stats field: x"):
+        render.parse_fields("a, x", ["a"], "stats")
+
+
 def test_feed(spark, tmp_path):
     log = tmp_path / "log"
     store = Store(spark, f"file://{tmp_path}/store")
