@@ -71,7 +71,7 @@ def run(spark: SparkSession, args: list[str]) -> str:
     form = render.check_format(a.format)
     fields = render.parse_fields(getattr(a, "fields", None), FIELDS.get(a.command, []), a.command)
     v, name = Vault(spark, a.vault), a.command
-    pick = lambda d: {k: x for k, x in d.items() if not fields or k in fields}
+    pick = lambda d: {k: d[k] for k in FIELDS[name] if not fields or k in fields}
     if name == "build":
         v.build()
         return ""

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.cli import run
 from linkloom.operators.query import Entry
 from linkloom.runtime import shared_dir, table
 from linkloom.sources import files as FS
@@ -160,6 +161,24 @@ def vault_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "command string, message string")
 
 
+_COMMANDS = {
+    "stats": ["stats"],
+    "stats of some": ["stats", "--format", "json", "--fields", "assets_total,notes_total"],
+    "resolve": ["resolve", "--from", "nations/NATION_0.md", "--link", "[[R0]]"],
+    "query": ["query", "--file", "nations/NATION_0.md", "--fields", "outgoing,tags,head", "--include-head", "1"],
+    "diagnose": ["diagnose", "--fields", "basename_conflicts,asset_basename_conflicts"],
+    "convert": ["convert", "--to", "markdown", "--dry-run", "--format", "json", "--file", "regions/R0.md"],
+    "disambiguate": ["disambiguate", "--name", "R0"],
+}
+
+
+def vault_cli(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(command, pos, line) of what the command line prints."""
+    v = _vault(spark, sf_dir)
+    rows = [(name, i, line) for name, args in _COMMANDS.items() for i, line in enumerate(run(spark, [*args, "--vault", v.root]).split("\n"))]
+    return spark.createDataFrame(rows, "command string, pos int, line string")
+
+
 _CHANGES: dict[str, Callable[[Vault], object]] = {
     "build": lambda v: None,
     "add": _added,
@@ -176,6 +195,7 @@ QUERIES = {f"vault_{change}_{what}": _after(change, show) for what, (show, chang
     "vault_query": vault_query,
     "vault_resolve": vault_resolve,
     "vault_errors": vault_errors,
+    "vault_cli": vault_cli,
 }
 
 _BASE = """WITH nat AS (SELECT n_nationkey k, n_name nm, n_regionkey rk FROM nation),
@@ -260,6 +280,17 @@ UNION ALL SELECT 'backlinks', CAST(i AS INTEGER), p FROM o WHERE i < 100
 UNION ALL SELECT 'outgoing', 0, 'img/NATION_0.png' UNION ALL SELECT 'outgoing', 1, 'regions/R' || rk || '.md' FROM nat WHERE k = 0
 UNION ALL SELECT 'tags', 0, '#area/r' || rk FROM nat WHERE k = 0 UNION ALL SELECT 'tags', 1, '#nation'
 UNION ALL SELECT 'head', 0, '[[R' || rk || ']] and [map](../img/NATION_0.png)' FROM nat WHERE k = 0""",
+    "vault_cli": f"""{_sql_edges()}, c AS (SELECT (SELECT count(*) FROM region) + (SELECT count(*) FROM nat) + (SELECT count(*) FROM sup) + (SELECT count(*) FROM cus) AS notes,
+  (SELECT count(*) FROM x) AS edges, (SELECT count(DISTINCT dst_key) FROM x WHERE dst_key LIKE 'tag:%') AS tags, (SELECT count(DISTINCT dst_key) FROM x WHERE dst_key LIKE 'phantom:%') AS phantoms,
+  (SELECT count(*) FROM nat WHERE k % 2 = 0) AS assets),
+t AS (SELECT 'stats' AS command, ['notes_total: ' || notes, 'notes_exists: ' || notes, 'edges_total: ' || edges, 'tags_total: ' || tags, 'phantoms_total: ' || phantoms, 'assets_total: ' || assets] AS ls FROM c
+UNION ALL SELECT 'stats of some', ['{{', '  "notes_total": ' || notes || ',', '  "assets_total": ' || assets, '}}'] FROM c
+UNION ALL SELECT 'resolve', ['type: note', 'name: R0', 'path: regions/R0.md', 'exists: true', 'subpath: ']
+UNION ALL SELECT 'query', ['entry:', '  type: note', '  name: NATION_0', '  path: nations/NATION_0.md', '  exists: true', 'outgoing:', '- type: asset', '  name: NATION_0.png', '  path: img/NATION_0.png', '  exists: true',
+  '- type: note', '  name: R' || rk, '  path: regions/R' || rk || '.md', '  exists: true', 'tags:', '- #area/r' || rk, '- #nation', 'head:', '- "[[R' || rk || ']] and [map](../img/NATION_0.png)"'] FROM nat WHERE k = 0
+UNION ALL SELECT 'diagnose', [''] UNION ALL SELECT 'convert', ['{{', '  "rewritten": []', '}}']
+UNION ALL SELECT 'disambiguate', list_prepend('rewritten:', flatten(list(['- file: nations/' || nm || '.md', '  old: "[[R0]]"', '  new: "[[regions/R0]]"'] ORDER BY nm || '.md'))) FROM nat WHERE rk = 0)
+SELECT command, CAST(unnest(generate_series(0, len(ls) - 1)) AS INTEGER) AS pos, unnest(ls) AS line FROM t""",
     "vault_resolve": """SELECT * FROM (VALUES ('nations/NATION_0.md', '[[R0]]', 'note', 'R0', 'regions/R0.md', ''), ('nations/NATION_0.md', '[map](../img/NATION_0.png)', 'asset', 'NATION_0.png', 'img/NATION_0.png', ''),
   ('nations/NATION_1.md', '[map](../img/NATION_1.png)', 'phantom', 'NATION_1.png', NULL, ''), ('suppliers/s0.md', '#kind/supplier', 'tag', '#kind/supplier', NULL, '')) t(source, link, type, name, path, subpath)""",
     "vault_errors": """SELECT * FROM (VALUES ('add known', 'file already registered: regions/R0.md'), ('add absent', 'file not found: zzz.md'), ('update unknown', 'file not registered: zzz.md'),
