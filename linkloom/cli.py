@@ -71,7 +71,7 @@ def run(spark: SparkSession, args: list[str]) -> str:
     form = render.check_format(a.format)
     fields = render.parse_fields(getattr(a, "fields", None), FIELDS.get(a.command, []), a.command)
     v, name = Vault(spark, a.vault), a.command
-    pick = lambda d: {k: d[k] for k in FIELDS[name] if not fields or k in fields}
+    pick = lambda d: {k: d[k] for k in FIELDS[name] if k in d and (not fields or k in fields)}
     if name == "build":
         v.build()
         return ""
@@ -87,7 +87,7 @@ def run(spark: SparkSession, args: list[str]) -> str:
         "simplify": lambda: v.simplify(a.file, a.dry_run),
         "repair": lambda: v.repair(a.dry_run),
         "convert": lambda: v.convert(a.to, a.file, a.dry_run),
-        "resolve": lambda: pick(v.resolve(a.src, a.link)),
+        "resolve": lambda: pick({k: x for k, x in render.shaped(v.resolve(a.src, a.link)).items() if x != ""}),
         "stats": lambda: pick(v.stats()),
         "diagnose": lambda: pick(v.diagnose()),
     }[name]()

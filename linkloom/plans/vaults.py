@@ -165,6 +165,8 @@ _COMMANDS = {
     "stats": ["stats"],
     "stats of some": ["stats", "--format", "json", "--fields", "assets_total,notes_total"],
     "resolve": ["resolve", "--from", "nations/NATION_0.md", "--link", "[[R0]]"],
+    "resolve some": ["resolve", "--from", "nations/NATION_0.md", "--link", "[map](../img/NATION_0.png)", "--fields", "exists,path"],
+    "resolve phantom": ["resolve", "--from", "nations/NATION_1.md", "--link", "[map](../img/NATION_1.png)", "--format", "json"],
     "query": ["query", "--file", "nations/NATION_0.md", "--fields", "outgoing,tags,head", "--include-head", "1"],
     "diagnose": ["diagnose", "--fields", "basename_conflicts,asset_basename_conflicts"],
     "convert": ["convert", "--to", "markdown", "--dry-run", "--format", "json", "--file", "regions/R0.md"],
@@ -285,7 +287,8 @@ UNION ALL SELECT 'head', 0, '[[R' || rk || ']] and [map](../img/NATION_0.png)' F
   (SELECT count(*) FROM nat WHERE k % 2 = 0) AS assets),
 t AS (SELECT 'stats' AS command, ['notes_total: ' || notes, 'notes_exists: ' || notes, 'edges_total: ' || edges, 'tags_total: ' || tags, 'phantoms_total: ' || phantoms, 'assets_total: ' || assets] AS ls FROM c
 UNION ALL SELECT 'stats of some', ['{{', '  "notes_total": ' || notes || ',', '  "assets_total": ' || assets, '}}'] FROM c
-UNION ALL SELECT 'resolve', ['type: note', 'name: R0', 'path: regions/R0.md', 'exists: true', 'subpath: ']
+UNION ALL SELECT 'resolve', ['type: note', 'name: R0', 'path: regions/R0.md', 'exists: true']
+UNION ALL SELECT 'resolve some', ['path: img/NATION_0.png', 'exists: true'] UNION ALL SELECT 'resolve phantom', ['{{', '  "type": "phantom",', '  "name": "NATION_1.png"', '}}']
 UNION ALL SELECT 'query', ['entry:', '  type: note', '  name: NATION_0', '  path: nations/NATION_0.md', '  exists: true', 'outgoing:', '- type: asset', '  name: NATION_0.png', '  path: img/NATION_0.png', '  exists: true',
   '- type: note', '  name: R' || rk, '  path: regions/R' || rk || '.md', '  exists: true', 'tags:', '- #area/r' || rk, '- #nation', 'head:', '- "[[R' || rk || ']] and [map](../img/NATION_0.png)"'] FROM nat WHERE k = 0
 UNION ALL SELECT 'diagnose', [''] UNION ALL SELECT 'convert', ['{{', '  "rewritten": []', '}}']

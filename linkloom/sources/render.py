@@ -30,7 +30,7 @@ def shaped(x: object) -> object:
         return [shaped(y) for y in x]
     if not isinstance(x, dict):
         return x
-    if "exists" in x and x["type"] not in ("note", "asset"):
+    if "exists" in x and x.get("type", "note") not in ("note", "asset"):
         return {k: shaped(v) for k, v in x.items() if k not in ("path", "exists")}
     if "line_start" in x:
         return {"source": x["source"], "lines": f"{x['line_start']}-{x['line_end']}", "content": x["lines"]}
