@@ -48,25 +48,16 @@ def world(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _write(root: str, path: str, text: str) -> None:
-    at = os.path.join(root, path)
-    os.makedirs(os.path.dirname(at), exist_ok=True)
-    with open(at, "w", encoding="utf-8", newline="") as f:
-        f.write(text)
-
-
 def _vault(spark: SparkSession, sf_dir: str) -> Vault:
     """A built vault of its own."""
     key = (spark.sparkContext.applicationId, sf_dir, "build")
     if key not in _DONE:
         root = _folder(spark)
-        for r in world(spark, sf_dir).toLocalIterator():
-            _write(root, r.path, r.content)
-        _write(root, ".hidden/x.png", "")
+        FS.create(root, world(spark, sf_dir).unionByName(spark.createDataFrame([(".hidden/x.png", "")], "path string, content string")))
         _DONE[key] = Vault(spark, root)
         _DONE[key].build()
     at = _folder(spark)
-    shutil.copytree(_DONE[key].root, at)
+    FS.copy(spark, _DONE[key].root, at)
     return Vault(spark, at)
 
 
@@ -79,29 +70,26 @@ def _nodes(v: Vault) -> DataFrame:
 
 
 def _texts(v: Vault) -> DataFrame:
-    return FS.read_notes(v.spark, v.root, FS.list_notes(v.root)).select("path", "content")
+    return FS.read_notes(v.spark, v.root, FS.notes_in(v.spark, v.root).withColumn("walk_ord", F.lit(0).cast("long"))).select("path", "content")
 
 
 def _added(v: Vault) -> None:
     """Second notes with the names of the regions, and notes for the phantoms of segments."""
     segments = sorted(r.name for r in v.store.read().nodes.filter("type = 'phantom' and name like 'Segment %'").collect())
-    regions = [p.rsplit("/", 1)[1] for p in FS.list_notes(v.root) if p.startswith("regions/")]
+    regions = [r.path.rsplit("/", 1)[1] for r in FS.notes_in(v.spark, v.root).filter("path like 'regions/%'").orderBy("path").collect()]
     new = [f"extra/{n}" for n in regions] + [f"extra/{s}.md" for s in segments]
-    for p in new:
-        _write(v.root, p, "[[NATION_1]]\n")
+    FS.create(v.root, v.spark.createDataFrame([(p, "[[NATION_1]]\n") for p in new], "path string, content string"))
     v.add(new)
 
 
 def _updated(v: Vault) -> None:
     """Suppliers with other texts, customers with an even number gone."""
-    notes = FS.list_notes(v.root)
-    suppliers = [p for p in notes if p.startswith("suppliers/")]
-    for p in suppliers:
-        _write(v.root, p, "[[R0]] #kind/other\n")
-    gone = [p for p in notes if p.startswith("customers/") and int(p[11:-3]) % 2 == 0]
-    for p in gone:
-        os.remove(os.path.join(v.root, p))
-    v.update([*suppliers, *gone])
+    notes = FS.notes_in(v.spark, v.root)
+    suppliers = notes.filter("path like 'suppliers/%'")
+    gone = notes.filter("path like 'customers/%' and cast(regexp_extract(path, '([0-9]+)[.]md$', 1) as long) % 2 = 0")
+    FS.create(v.root, suppliers.withColumn("content", F.lit("[[R0]] #kind/other\n")))
+    FS.remove(v.root, gone)
+    v.update(FS.ranked(suppliers.unionByName(gone), F.array(F.when(F.col("path").like("suppliers/%"), "0").otherwise("1"), "path")).withColumnRenamed("walk_ord", "pos"))
 
 
 def _after(name: str, show: Callable[[Vault], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

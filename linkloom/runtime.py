@@ -8,12 +8,12 @@ import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 _STAGED: dict[str, SparkSession] = {}
 _SHIPPED: set[str] = set()
@@ -54,6 +54,33 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+class Rows(Sequence):
+    """What ``show`` makes of the rows of a staged table, in the order of some columns. They are fetched a partition at a time when they are gone through."""
+
+    def __init__(self, rows: DataFrame, by: list[str], show: Callable[[Row], object]):
+        self._rows, self._by, self._show = rows, by, show
+
+    def __iter__(self) -> Iterator[object]:
+        return map(self._show, self._rows.orderBy(*self._by).toLocalIterator())
+
+    def __len__(self) -> int:
+        return self._rows.count()
+
+    def __bool__(self) -> bool:
+        return not self._rows.isEmpty()
+
+    def __getitem__(self, i: int | slice) -> object:
+        return list(self)[i]
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Sequence) and list(self) == list(other)
+
+    __hash__ = None
+
+    def __repr__(self) -> str:
+        return f"<rows of {', '.join(self._rows.columns)}>"
+
+
 def _drop(at: str) -> None:
     spark = _STAGED.pop(at)
     try:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 
+from linkloom.runtime import Rows
+
 FORMATS = ("text", "json")
 #: What is shown in quotes in text: links as they are written, and lines of notes.
 _QUOTED = frozenset({"old", "new", "raw_link", "head", "content"})
@@ -26,7 +28,7 @@ def parse_fields(text: str | None, known: list[str], command: str = "") -> list[
 
 def shaped(x: object) -> object:
     """A result as it is shown: only files have a path and exist or not, and a snippet's lines are a range with their content."""
-    if isinstance(x, list):
+    if isinstance(x, (list, Rows)):
         return [shaped(y) for y in x]
     if not isinstance(x, dict):
         return x

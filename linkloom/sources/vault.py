@@ -15,7 +15,7 @@ from linkloom.operators import graph as G
 from linkloom.operators import query as Q
 from linkloom.operators import rewrite as R
 from linkloom.operators.extract import LINKS, occurrences
-from linkloom.runtime import stage
+from linkloom.runtime import Rows, stage
 from linkloom.sources import files as FS
 from linkloom.sources.store import Store
 
@@ -35,12 +35,14 @@ class Vault:
 
     # ---- files
 
-    def _listed(self) -> tuple[list[str], list[str]]:
+    def _listed(self, assets: bool = True) -> tuple[DataFrame, DataFrame | None]:
+        """(path) of the notes and of the assets that aren't excluded."""
         ex = FS.Config.load(self.root).build_excludes
-        return FS.list_notes(self.root, ex), FS.list_assets(self.root, ex)
+        return FS.notes_in(self.spark, self.root, ex), FS.assets_in(self.spark, self.root, ex) if assets else None
 
-    def _notes(self, paths: list[str] | None = None) -> DataFrame:
-        return FS.read_notes(self.spark, self.root, self._listed()[0] if paths is None else paths)
+    def _notes(self, paths: DataFrame) -> DataFrame:
+        """The texts of notes (path), in no order."""
+        return FS.read_notes(self.spark, self.root, paths.select("path", F.lit(0).cast("long").alias("walk_ord")))
 
     def _exists(self, path: str) -> bool:
         return os.path.exists(os.path.join(self.root, path))
@@ -48,49 +50,57 @@ class Vault:
     def _paths(self, paths: list[str]) -> DataFrame:
         return self.spark.createDataFrame([(p,) for p in paths], "path string")
 
-    def _apply(self, plan: DataFrame, at: dict[str, str] | None = None) -> tuple[list[dict], dict[str, bytes]]:
-        """Write what a plan changes; ``at`` maps files that lie elsewhere than the plan has them. The rewrites, and the old texts."""
-        plan = stage(plan.select(R.PLAN), "plan")
-        rows = plan.orderBy("file", "line", "occ_ord").collect()  # a report that is shown whole
-        done = [{"file": r.file, "old": r.raw_link, "new": r.new_link} for r in rows]
-        names = list(dict.fromkeys(r.file for r in rows))
-        if not names:
-            return done, {}
-        where = {n: (at or {}).get(n, n) for n in names}
-        there = FS.read_notes(self.spark, self.root, list(where.values())).join(self.spark.createDataFrame(list(where.items()), "file string, path string"), "path").select(F.col("file").alias("path"), "content")
-        texts = {where[r.path]: r.content for r in R.applied(there, plan).collect()}  # as many as the command rewrites
-        old = {p: Path(self.root, p).read_bytes() for p in texts}
-        FS.write_all(self.root, texts)
-        return done, old
-
-    def _publish(self, g: G.Graph, old: dict[str, bytes]) -> None:
+    @staticmethod
+    def _files(plan: DataFrame) -> DataFrame:
+        """(path) of the notes whose texts a plan changes."""
+        return plan.select(F.col("file").alias("path")).distinct()
+
+    @staticmethod
+    def _report(plan: DataFrame, first: list[str] = ()) -> Rows:
+        return Rows(plan, [*first, "file", "line", "occ_ord"], lambda r: {"file": r.file, "old": r.raw_link, "new": r.new_link})
+
+    def _apply(self, plan: DataFrame, at: DataFrame | None = None) -> DataFrame | None:
+        """Write what a staged plan changes; ``at`` (file, path) has where files lie that the plan has elsewhere. The old texts (path, content, raw), staged."""
+        if plan.isEmpty():
+            return None
+        where = plan.select("file").distinct()
+        where = where.withColumn("path", F.col("file")) if at is None else where.join(at, "file", "left").select("file", F.coalesce("path", "file").alias("path"))
+        old = stage(self._notes(where).join(where, "path").select("path", "content", "raw", "file"), "old")
+        texts = R.applied(old.select(F.col("file").alias("path"), "content"), plan)
+        if at is not None:
+            texts = texts.withColumnRenamed("path", "file").join(old.select("file", "path"), "file")
+        FS.write_all(self.root, texts, old)
+        return old
+
+    def _restore(self, *old: DataFrame | None) -> None:
+        for texts in old:
+            if texts is not None:
+                FS.restore(self.root, texts)
+
+    def _publish(self, g: G.Graph, old: DataFrame | None) -> None:
         """The new snapshot; if that fails the texts go back to what they were."""
         try:
             self.store.publish(g)
         except Exception:
-            FS.restore(self.root, old)
+            self._restore(old)
             raise
 
-    def _with_mtimes(self, g: G.Graph, paths: list[str]) -> G.Graph:
-        if not paths:
-            return g
-        now = self.spark.createDataFrame([(f"note:path:{p}", FS.mtime(self.root, p)) for p in paths], "node_key string, now long")
+    def _with_mtimes(self, g: G.Graph, paths: DataFrame) -> G.Graph:
+        now = FS.mtimes(self.root, paths).select(F.concat(F.lit("note:path:"), "path").alias("node_key"), "now")
         nodes = g.nodes.join(now, "node_key", "left").withColumn("mtime", F.coalesce("now", "mtime")).select(G.NODE_COLUMNS)
         return G.Graph(nodes, g.edges)
 
-    def _fresh(self, g: G.Graph, paths: list[str]) -> None:
-        known = {r.path: r.mtime for r in g.nodes.filter("type = 'note'").join(self._paths(paths), "path").select("path", "mtime").collect()} if paths else {}
-        for p in paths:
-            if not self._exists(p):
-                raise VaultError(f"file not found: {p}")
-            if FS.mtime(self.root, p) != known.get(p):
-                raise VaultError(f"source file is stale: {p}")
+    def _fresh(self, g: G.Graph, paths: DataFrame) -> None:
+        known = g.nodes.filter("type = 'note'").select("path", "mtime")
+        state = FS.mtimes(self.root, paths).join(known, "path", "left")
+        for r in state.filter("now is null or mtime is null or now <> mtime").orderBy("path").limit(1).collect():
+            raise VaultError(f"file not found: {r.path}" if r.now is None else f"source file is stale: {r.path}")
 
     # ---- build and change
 
     def build(self) -> G.Graph:
         notes, assets = self._listed()
-        return self.store.publish(G.build(FS.read_notes(self.spark, self.root, notes), FS.asset_files(self.spark, self.root, assets)))
+        return self.store.publish(G.build(FS.read_notes(self.spark, self.root, FS.ranked(notes)), stage(FS.asset_files(self.root, FS.ranked(assets)), "assets")))
 
     def _next(self, g: G.Graph) -> int:
         top = g.nodes.filter("type = 'note'").agg(F.max("node_ord")).first()[0]
@@ -110,32 +120,34 @@ class Vault:
         plan = stage(plan, "plan")
         if unclear.limit(1).collect() or (not auto_disambiguate and plan.limit(1).collect()):
             raise VaultError("adding files would make existing links ambiguous")
-        self._fresh(g, sorted({r.file for r in plan.select("file").distinct().collect()}))
+        self._fresh(g, self._files(plan))
         notes = FS.read_notes(self.spark, self.root, paths, self._next(g))
         universe = g.notes().unionByName(notes.select("path", "walk_ord"))
         after = G.refreshed(g, notes, universe)
         order = self.spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "path string, ord long")
         after, gave = G.promoted(after, order)
         promoted = sorted(r.path for r in gave.collect())
-        rewritten, old = self._apply(plan)
-        after = self._with_mtimes(G.relinked(after, plan), [r["file"] for r in rewritten])
-        self._publish(G.without_orphans(after), old)
-        return {"added": paths, "promoted": promoted, "rewritten": rewritten}
+        old = self._apply(plan)
+        self._publish(G.without_orphans(self._with_mtimes(G.relinked(after, plan), self._files(plan))), old)
+        return {"added": paths, "promoted": promoted, "rewritten": self._report(plan)}
 
-    def update(self, paths: list[str]) -> dict:
+    def update(self, paths: list[str] | DataFrame) -> dict:
+        """Notes whose files have changed or are gone: a list, or (path, pos) with each path once, clean, in the order of ``pos``."""
         g = self.store.read()
-        paths = list(dict.fromkeys(_clean(p) for p in paths))
-        self._registered(g, paths, ("note",))
-        here, gone = [p for p in paths if self._exists(p)], [p for p in paths if not self._exists(p)]
-        universe = g.notes().join(self._paths(gone), "path", "left_anti")
-        if here:
-            ords = {r.path: r.node_ord for r in g.nodes.filter("type = 'note'").join(self._paths(here), "path").collect()}
-            notes = FS.read_notes(self.spark, self.root, here).drop("walk_ord").join(self.spark.createDataFrame(list(ords.items()), "path string, walk_ord long"), "path")
-            g = G.refreshed(g, notes, universe)
-        g, facts = G.removed(g, self.spark.createDataFrame([(f"note:path:{p}", i) for i, p in enumerate(gone)], "node_key string, pos long"))
-        ended = facts.orderBy("pos").collect()
+        if not isinstance(paths, DataFrame):
+            paths = self.spark.createDataFrame([(p, i) for i, p in enumerate(dict.fromkeys(_clean(p) for p in paths))], "path string, pos long")
+        known = g.nodes.filter("type = 'note'").select("path", F.col("node_ord").alias("walk_ord"))
+        asked = stage(paths.join(FS.mtimes(self.root, paths), "path").join(known, "path", "left"), "asked")
+        for r in asked.filter("walk_ord is null").orderBy("pos").limit(1).collect():
+            raise VaultError(f"file not registered: {r.path}")
+        here, gone = asked.filter("now is not null"), asked.filter("now is null")
+        if not here.isEmpty():
+            g = G.refreshed(g, FS.read_notes(self.spark, self.root, here), g.notes().join(gone.select("path"), "path", "left_anti"))
+        g, facts = G.removed(g, gone.select(F.concat(F.lit("note:path:"), "path").alias("node_key"), "pos"))
+        facts = stage(facts, "facts")
         self.store.publish(G.without_orphans(g))
-        return {"updated": here, "deleted": [r.path for r in ended if not r.phantomed], "phantomed": [r.path for r in ended if r.phantomed]}
+        of = lambda rows: Rows(rows, ["pos"], lambda r: r.path)
+        return {"updated": of(here), "deleted": of(facts.filter("not phantomed")), "phantomed": of(facts.filter("phantomed"))}
 
     def _registered(self, g: G.Graph, paths: list[str], kinds: tuple[str, ...]) -> dict[str, str]:
         rows = g.nodes.filter(F.col("type").isin(*kinds)).join(self._paths(paths), "path").select("path", "node_key", "type").orderBy("type").collect()
@@ -170,7 +182,7 @@ class Vault:
             for p in paths:
                 Path(self.root, p).unlink(missing_ok=True)
             for f in folders:
-                left = [p for p in FS.list_assets(self.root) if p.startswith(f.rstrip("/") + "/")]
+                left = FS.assets_below(self.root, f)
                 for p in left:
                     Path(self.root, p).unlink(missing_ok=True)
                 FS.remove_empty_folders(self.root, left)
@@ -194,7 +206,8 @@ class Vault:
         if not inside:
             raise VaultError(f"file not registered: {src}")
         pairs = [(p, dst + p[len(src) :]) for p in inside]
-        extra = [p for p in FS.list_assets(self.root) if p.startswith(src + "/") and p not in set(inside)]
+        known = set(inside)
+        extra = [p for p in FS.assets_below(self.root, src) if p not in known]
         out = self._move(g, pairs, batch=True, extra=[(p, dst + p[len(src) :]) for p in extra])
         return out
 
@@ -219,10 +232,13 @@ class Vault:
         notes = [a for a, _ in pairs if known[a].type == "note"]
         text = FS.read_notes(self.spark, self.root, [at[a] for a in notes]).join(self.spark.createDataFrame([(a, at[a]) for a in notes], "file string, path string"), "path").select(F.col("file").alias("path"), "content", "walk_ord")
         outside = stage(R.move_plan(g, moved), "plan")
-        inside = R.moved_outgoing_plan(g, occurrences(text), moved, batch)
-        done, old = self._apply(outside)
-        more, own = self._apply(inside, at)
-        old |= own
+        inside = stage(R.moved_outgoing_plan(g, occurrences(text), moved, batch), "plan")
+        old = self._apply(outside)
+        try:
+            own = self._apply(inside, self.spark.createDataFrame(list(at.items()), "file string, path string"))
+        except Exception:
+            self._restore(old)
+            raise
         renamed: list[tuple[str, str]] = []
         try:
             if before:
@@ -239,65 +255,68 @@ class Vault:
                 went = [(b, i) for i, (a, b) in enumerate(pairs) if known[a].type == kind]
                 if went:
                     g, _ = G.promoted(g, self.spark.createDataFrame(went, "path string, ord long"), kind == "asset")
-            stay = sorted({r["file"] for r in done})
-            self.store.publish(G.without_orphans(self._with_mtimes(g, stay)))
+            self.store.publish(G.without_orphans(self._with_mtimes(g, self._files(outside))))
         except Exception:
             for a, b in reversed(renamed):
                 os.rename(os.path.join(self.root, b), os.path.join(self.root, a))
-            FS.restore(self.root, old)
+            self._restore(old, own)
             raise
         FS.remove_empty_folders(self.root, [a for a, _ in pairs])
-        out = {"rewritten": [*done, *more]}
+        out = {"rewritten": self._report(outside.withColumn("own", F.lit(False)).unionByName(inside.withColumn("own", F.lit(True))), ["own"])}
         return {"moved": [{"from": a, "to": b} for a, b in pairs], **out} if batch else {"from": pairs[0][0], "to": pairs[0][1], **out}
 
     # ---- rewrites of texts
 
-    def _scope(self, notes: list[str], paths: list[str]) -> DataFrame | None:
+    def _scope(self, notes: DataFrame, paths: list[str]) -> DataFrame | None:
         paths = [_clean(p) for p in paths]
+        if not paths:
+            return None
+        known = {r.path for r in notes.join(self._paths(paths), "path", "left_semi").collect()}
         for p in paths:
-            if p not in notes:
+            if p not in known:
                 raise VaultError(f"file not found or excluded: {p}")
-        return self._paths(paths) if paths else None
+        return self._paths(paths)
 
-    def _frames(self, notes: list[str], assets: list[str]) -> tuple[DataFrame, DataFrame]:
-        frame = lambda ps: self.spark.createDataFrame([(p, i) for i, p in enumerate(ps)], "path string, walk_ord long")
-        return frame(sorted(notes)), frame(sorted(assets))
+    @staticmethod
+    def _frame(paths: DataFrame) -> DataFrame:
+        """Files as plans want them that have no walk: of those that share a name or path in another case the last by its path counts."""
+        return paths.select("path", F.lit(0).cast("long").alias("walk_ord"))
 
-    def _finish(self, plan: DataFrame, dry_run: bool) -> list[dict]:
+    def _finish(self, plan: DataFrame, dry_run: bool) -> Rows:
+        plan = stage(plan.select(R.PLAN), "plan")
         if not dry_run:
-            return self._apply(plan)[0]
-        return [{"file": r.file, "old": r.raw_link, "new": r.new_link} for r in plan.orderBy("file", "line", "occ_ord").collect()]
+            self._apply(plan)
+        return self._report(plan)
 
     @staticmethod
-    def _skipped(rows: DataFrame) -> list[dict]:
-        return [r.asDict() for r in rows.orderBy("file", "raw_link").collect()]
+    def _skipped(rows: DataFrame) -> Rows:
+        return Rows(stage(rows, "skipped"), ["file", "raw_link"], lambda r: r.asDict())
 
     def convert(self, to: str, paths: list[str] = (), dry_run: bool = False) -> dict:
-        names, _ = self._listed()
+        names, _ = self._listed(assets=False)
         occ = occurrences(self._notes(names), for_conversion=to == "wikilink", kinds=LINKS)
-        plan = R.convert_plan(occ, self._frames(names, [])[0], to, self._scope(names, list(paths)))
+        plan = R.convert_plan(occ, self._frame(names), to, self._scope(names, list(paths)))
         return {"rewritten": self._finish(plan, dry_run)}
 
     def simplify(self, paths: list[str] = (), dry_run: bool = False) -> dict:
         names, others = self._listed()
-        plan, skipped = R.simplify_plan(occurrences(self._notes(names), kinds=LINKS), *self._frames(names, others), self._scope(names, list(paths)))
+        plan, skipped = R.simplify_plan(occurrences(self._notes(names), kinds=LINKS), self._frame(names), self._frame(others), self._scope(names, list(paths)))
         skipped = self._skipped(skipped)
         return {"rewritten": self._finish(plan, dry_run), "skipped": skipped}
 
     def repair(self, dry_run: bool = False) -> dict:
-        names, _ = self._listed()
-        plan, skipped = R.repair_plan(occurrences(self._notes(names), kinds=LINKS), self._frames(names, [])[0], self._paths(FS.everything(self.root)))
+        names, _ = self._listed(assets=False)
+        plan, skipped = R.repair_plan(occurrences(self._notes(names), kinds=LINKS), self._frame(names), FS.everything(self.spark, self.root))
         skipped = self._skipped(skipped)
         return {"rewritten": self._finish(plan, dry_run), "skipped": skipped}
 
     def disambiguate(self, name: str, target: str | None = None, paths: list[str] = (), scan: bool = False) -> dict:
         key = name.lower().removesuffix(".md")
         if scan:
-            names, _ = self._listed()
-            notes = self._frames(names, [])[0]
-            cands = [r.path for r in notes.filter(note_name_key(F.col("path")) == key).orderBy("path").collect()]
+            names, _ = self._listed(assets=False)
+            cands = [r.path for r in names.filter(note_name_key(F.col("path")) == key).orderBy("path").collect()]
             to = R.disambiguate_target(cands, name, target and _clean(target))
-            return {"rewritten": self._finish(R.disambiguate_scan_plan(occurrences(self._notes(names), kinds=LINKS), notes, key, to, self._scope(names, list(paths))), False)}
+            return {"rewritten": self._finish(R.disambiguate_scan_plan(occurrences(self._notes(names), kinds=LINKS), self._frame(names), key, to, self._scope(names, list(paths))), False)}
         g = self.store.read()
         cands = [r.path for r in g.notes().filter(note_name_key(F.col("path")) == key).orderBy("path").collect()]
         to = R.disambiguate_target(cands, name, target and _clean(target))
@@ -305,11 +324,11 @@ class Vault:
         if paths:
             self._registered(g, paths, ("note",))
         plan = stage(R.disambiguate_plan(g, key, to, self._paths(paths) if paths else None), "plan")
-        self._fresh(g, sorted({r.file for r in plan.select("file").distinct().collect()}))
-        done, old = self._apply(plan)
-        if done:
-            self._publish(self._with_mtimes(G.relinked(g, plan), sorted({r["file"] for r in done})), old)
-        return {"rewritten": done}
+        self._fresh(g, self._files(plan))
+        old = self._apply(plan)
+        if old is not None:
+            self._publish(self._with_mtimes(G.relinked(g, plan), self._files(plan)), old)
+        return {"rewritten": self._report(plan)}
 
     # ---- queries
 
