@@ -51,3 +51,9 @@ def test_move(vault, tmp_path):
         out = vault.move("d", "e")["rewritten"]
     assert {(tmp_path / f"n{i:02}.md").read_text() for i in range(N)} == {"[t](e/T.md#h)\n"}
     assert out == [{"file": f"n{i:02}.md", "old": "[t](d/T.md#h)", "new": "[t](e/T.md#h)"} for i in range(N)]
+
+
+def test_simplify(vault, tmp_path):
+    with little():
+        vault.simplify()
+    assert {(tmp_path / f"n{i:02}.md").read_text() for i in range(N)} == {"[t](T.md#h)\n"}
