@@ -57,3 +57,9 @@ def test_simplify(vault, tmp_path):
     with little():
         vault.simplify()
     assert {(tmp_path / f"n{i:02}.md").read_text() for i in range(N)} == {"[t](T.md#h)\n"}
+
+
+def test_convert(vault, tmp_path):
+    with little():
+        vault.convert("wikilink")
+    assert {(tmp_path / f"n{i:02}.md").read_text() for i in range(N)} == {"[[d/T#h|t]]\n"}
